@@ -16,6 +16,7 @@ def local_session(cores: int | str = 8, memory: str = "16g") -> SparkSession:
         .appName("trialloom")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cores) if str(cores).isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
