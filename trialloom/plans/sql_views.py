@@ -30,7 +30,7 @@ VIEWS["tl"] = f"""
            customer_num, service_num, product_num, team_num, bundle_no,
            {BUNDLE_TEXT} AS valid_selection, full_runtime
     FROM (SELECT l_suppkey AS random_seed, CAST(l_partkey % 64 AS INTEGER) AS bundle_no,
-                 min(l_extendedprice) / 2000.0 AS full_runtime
+                 min(l_extendedprice) / 1999.0 AS full_runtime
           FROM lineitem GROUP BY 1, 2) c
     JOIN {{inst}} USING (random_seed)"""
 
@@ -79,6 +79,52 @@ VIEWS["clean"] = """
     SELECT * FROM {slow}
     WHERE instance_id IN (SELECT instance_id FROM {slow} GROUP BY 1 HAVING count(*) = 64)"""
 
+VIEWS["group_draws"] = """
+    SELECT instance_id, row_number() OVER (ORDER BY md5('7|' || instance_id)) AS place, count(*) OVER () AS n
+    FROM (SELECT DISTINCT instance_id FROM {complete}) t"""
+VIEWS["group_split"] = """
+    SELECT c.*, CASE WHEN place <= ceil(0.33::DOUBLE * n) THEN 'test' ELSE 'train' END AS split
+    FROM {complete} c JOIN {group_draws} USING (instance_id)"""
+VIEWS["row_split"] = """
+    SELECT *, CASE WHEN place <= ceil(0.33::DOUBLE * n) THEN 'test' ELSE 'train' END AS split
+    FROM (SELECT *, row_number() OVER (ORDER BY md5('7|' || instance_id || '|' || valid_selection)) AS place,
+                 count(*) OVER () AS n FROM {complete}) t"""
+VIEWS["predicted"] = """
+    SELECT g.*, full_runtime AS true_runtime, pred_runtime
+    FROM {group_split} g LEFT JOIN (SELECT valid_selection, avg(full_runtime) AS pred_runtime
+        FROM {group_split} WHERE split = 'train' GROUP BY 1) m USING (valid_selection)"""
+VIEWS["predicted_rows"] = """
+    SELECT g.*, full_runtime AS true_runtime, pred_runtime
+    FROM {row_split} g LEFT JOIN (SELECT valid_selection, avg(full_runtime) AS pred_runtime
+        FROM {row_split} WHERE split = 'train' GROUP BY 1) m USING (valid_selection)"""
+VIEWS["held_out"] = "SELECT * FROM {predicted} WHERE split = 'test'"
+VIEWS["ranked"] = """
+    SELECT *, rank() OVER (PARTITION BY instance_id ORDER BY true_runtime)
+                + (count(*) OVER (PARTITION BY instance_id, true_runtime) - 1) / 2.0::DOUBLE AS true_rank,
+           rank() OVER (PARTITION BY instance_id ORDER BY pred_runtime)
+                + (count(*) OVER (PARTITION BY instance_id, pred_runtime) - 1) / 2.0::DOUBLE AS pred_rank,
+           row_number() OVER (PARTITION BY instance_id ORDER BY true_runtime, valid_selection) AS true_place,
+           row_number() OVER (PARTITION BY instance_id ORDER BY pred_runtime, valid_selection) AS pred_place
+    FROM {held_out}"""
+VIEWS["cases"] = """
+    SELECT instance_id, count(*) AS bundle_count, min(true_runtime) AS true_best_runtime,
+           max(true_runtime) FILTER (WHERE pred_place = 1) AS pred_selected_runtime,
+           max(pred_place) FILTER (WHERE true_place = 1) AS best_place,
+           CASE WHEN stddev_pop(true_rank) > 0 AND stddev_pop(pred_rank) > 0 THEN corr(true_rank, pred_rank) END AS spearman
+    FROM {ranked} GROUP BY 1 HAVING count(*) >= 2"""
+VIEWS["instances"] = """
+    SELECT instance_id, count(*) AS bundle_count,
+           max(valid_selection) FILTER (WHERE up = 1) AS best_bundle,
+           max(valid_selection) FILTER (WHERE down = 1) AS worst_bundle,
+           min(full_runtime) AS best_runtime, max(full_runtime) AS worst_runtime, avg(full_runtime) AS mean_runtime,
+           stddev_pop(full_runtime) AS runtime_std,
+           min(full_runtime) FILTER (WHERE valid_selection = '(0, 0, 0, 0, 0, 0)') AS baseline_runtime,
+           min(scale_phase) AS scale_phase, min(scale_stage) AS scale_stage, min(size_signature) AS size_signature
+    FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY full_runtime, valid_selection) AS up,
+                 row_number() OVER (PARTITION BY instance_id ORDER BY full_runtime DESC, valid_selection) AS down
+          FROM {kept}) t
+    GROUP BY 1"""
+
 
 def _needed(text: str, found: list[str]) -> None:
     for name in re.findall(r"\{(\w+)\}", text):
