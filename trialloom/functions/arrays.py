@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialloom.columns import STAT_ARRAYS
+from trialloom.functions.numeric import finite
 
 # A printed number, and the precision below which a spread counts as none.
 NUMBER = r"[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?"
@@ -99,7 +100,7 @@ def skew(n: Column, centre: Column, moments: Column) -> Column:
     """Bias-corrected skew; up to two values stay uncorrected, a constant gives null."""
     m2 = _spread(moments["m2"], centre)
     g1 = moments["m3"] / F.pow(m2, F.lit(1.5))
-    return F.when(n > 2, g1 * F.sqrt(n * (n - 1.0)) / (n - 2)).otherwise(g1)
+    return finite(F.when(n > 2, g1 * F.sqrt(n * (n - 1.0)) / (n - 2)).otherwise(g1))
 
 
 def kurtosis(n: Column, centre: Column, moments: Column) -> Column:
@@ -107,7 +108,7 @@ def kurtosis(n: Column, centre: Column, moments: Column) -> Column:
     m2 = _spread(moments["m2"], centre)
     g2 = moments["m4"] / (m2 * m2) - 3
     corrected = (n - 1) / ((n - 2.0) * (n - 3)) * ((n + 1) * g2 + 6)
-    return F.when(n > 3, corrected).otherwise(g2)
+    return finite(F.when(n > 3, corrected).otherwise(g2))
 
 
 def with_stats(df: DataFrame, arrays: dict[str, Column]) -> DataFrame:

@@ -46,7 +46,9 @@ def above_minimum(df: DataFrame, minimum: float = 0.5, target: str = TARGET) ->
 
 def with_instance_id(df: DataFrame) -> DataFrame:
     """Join the key columns with ``|``; a numeric seed prints as a whole number."""
-    seed = F.coalesce(to_number(F.col(SEED)).cast("long").cast("string"), F.col(SEED).cast("string"))
+    seed = F.col(SEED).cast("string")
+    if dict(df.dtypes)[SEED] not in ("int", "bigint"):
+        seed = F.coalesce(to_number(F.col(SEED)).cast("long").cast("string"), seed)
     keys = [seed if c == SEED else F.col(c) for c in INSTANCE_KEYS]
     return df.withColumn(INSTANCE, F.concat_ws("|", *keys))
 

@@ -125,6 +125,77 @@ VIEWS["instances"] = """
           FROM {kept}) t
     GROUP BY 1"""
 
+_PRINTED = "array_to_string(v[{a}:{b}], ' ')"
+
+
+def _vector(first: int, last: int) -> str:
+    return "'[' || " + _PRINTED.format(a=first, b=last) + " || ']'"
+
+
+def _matrix(rows: int) -> str:
+    lines = (_vector(8 * r + 1, 8 * r + 8) for r in range(rows))
+    return "'[' || " + " || chr(10) || ' ' || ".join(lines) + " || ']'"
+
+
+VIEWS["ints"] = """
+    SELECT vec_id AS random_seed,
+           list_transform(embedding, lambda e: CAST(floor(CAST(e AS DOUBLE) * 1000) AS INTEGER)) AS v
+    FROM embeddings"""
+VIEWS["cells"] = f"""
+    SELECT random_seed, CASE WHEN random_seed % 10 = 0 THEN 5 ELSE 6 END AS customer_num,
+           8 AS service_num, 8 AS product_num,
+           {_vector(1, 8)} AS service_time, {_vector(9, 16)} AS service_price, {_vector(17, 24)} AS service_cost,
+           '[' || array_to_string(list_transform(range(1, 9), lambda i: v[8 + i] - v[16 + i]), ' ') || ']' AS profit,
+           {_vector(25, 32)} AS inventory, {_vector(33, 38)} AS weight, {_vector(39, 44)} AS early_start,
+           {_vector(45, 50)} AS late_start, {_matrix(6)} AS utility, {_matrix(8)} AS Ser_Pro_corr,
+           {_matrix(8)} AS transfer_matrix, {_matrix(8)} AS VariableCost
+    FROM {{ints}}"""
+NUMBER = r"[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?"
+
+
+def numbers(cell: str) -> str:
+    return f"CAST(regexp_extract_all({cell}, '{NUMBER}') AS DOUBLE[])"
+
+
+def array_stats(source: str) -> str:
+    """Median, mode, skew and kurtosis per (id, what) from rows (id, what, x)."""
+    return f"""
+        SELECT id, what, any_value(median) AS median, any_value(mode_x) AS mode,
+               CASE WHEN any_value(flat) THEN NULL
+                    WHEN any_value(n) > 2 THEN any_value(sqrt(n * (n - 1)) / (n - 2)) * avg(d * d * d) / power(avg(d * d), 1.5)
+                    ELSE avg(d * d * d) / power(avg(d * d), 1.5) END AS skew,
+               CASE WHEN any_value(flat) THEN NULL
+                    WHEN any_value(n) > 3 THEN any_value((n - 1) / ((n - 2.0::DOUBLE) * (n - 3)))
+                         * ((any_value(n) + 1) * (avg(d * d * d * d) / (avg(d * d) * avg(d * d)) - 3) + 6)
+                    ELSE avg(d * d * d * d) / (avg(d * d) * avg(d * d)) - 3 END AS kurtosis
+        FROM (SELECT id, what, n, mode_x, flat, (xs[(n + 1) // 2] + xs[n // 2 + 1]) / 2 AS median,
+                     CASE WHEN flat THEN 0 ELSE x - avg(CASE WHEN flat THEN 0 ELSE x END) OVER (PARTITION BY id, what) END AS d
+              FROM (SELECT id, what, x, count(*) OVER g AS n, list_sort(list(x) OVER g) AS xs,
+                           min(x) OVER g = max(x) OVER g OR max(abs(x)) OVER g = 'inf'::DOUBLE AS flat,
+                           first_value(x) OVER (PARTITION BY id, what ORDER BY times DESC, x) AS mode_x
+                    FROM (SELECT id, what, x, count(*) OVER (PARTITION BY id, what, x) AS times FROM ({source}) s) t
+                    WINDOW g AS (PARTITION BY id, what)) u) w
+        GROUP BY id, what"""
+
+
+ARRAYS = (
+    "service_time service_price service_cost profit inventory weight early_start late_start utility "
+    "Ser_Pro_corr transfer_matrix VariableCost"
+).split()
+VIEWS["cell_numbers"] = "\nUNION ALL ".join(
+    f"SELECT random_seed AS id, '{a}' AS what, unnest({numbers(a)}) AS x FROM {{cells}}" for a in ARRAYS
+)
+VIEWS["cell_stats"] = array_stats("SELECT * FROM {cell_numbers}")
+VIEWS["wide_stats"] = (
+    "SELECT id AS random_seed, "
+    + ", ".join(
+        f"max({stat}) FILTER (WHERE what = '{a}') AS {a}_{stat}"
+        for a in ARRAYS
+        for stat in ("median", "mode", "skew", "kurtosis")
+    )
+    + " FROM {cell_stats} GROUP BY 1"
+)
+
 
 def _needed(text: str, found: list[str]) -> None:
     for name in re.findall(r"\{(\w+)\}", text):
