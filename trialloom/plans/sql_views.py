@@ -196,6 +196,62 @@ VIEWS["wide_stats"] = (
     + " FROM {cell_stats} GROUP BY 1"
 )
 
+VIEWS["node"] = """
+    SELECT s, i, m, CAST(i % 3 AS INTEGER) AS k, early, CAST(early + 5 + supp % 20 AS INTEGER) AS late,
+           CAST(early + q % 9 AS INTEGER) AS start, CAST(1 + m % 4 AS INTEGER) AS weight, price / 100.0 AS utility
+    FROM (SELECT l_orderkey AS s, l_linenumber - 1 AS i, min(l_partkey) AS m,
+                 CAST(date_diff('day', DATE '1992-01-01', CAST(min(l_shipdate) AS DATE)) % 200 AS INTEGER) AS early,
+                 CAST(floor(min(l_quantity)) AS INTEGER) AS q, min(l_suppkey) AS supp, min(l_extendedprice) AS price
+          FROM lineitem GROUP BY 1, 2) t"""
+VIEWS["service"] = """
+    SELECT p_partkey AS m, p_retailprice AS price, p_retailprice * 0.75::DOUBLE AS cost,
+           CAST(1 + p_size % 5 AS INTEGER) AS time FROM part"""
+VIEWS["units_used"] = """
+    SELECT p_partkey AS m, p_size % 10 AS p, 1 + p_size % 3 AS units FROM part
+    UNION ALL SELECT p_partkey, (p_size + 1) % 10, 1 FROM part"""
+VIEWS["stock"] = "SELECT DISTINCT p, 2 + p % 4 AS cap FROM {units_used}"
+VIEWS["assign"] = """
+    SELECT s, i, m, weight, utility FROM {node}
+    UNION ALL SELECT s, i, m, weight, utility FROM {node} WHERE s % 10 = 0 AND i = 0"""
+VIEWS["route"] = """
+    SELECT s, k, i, lag(i) OVER r AS prev, lead(i) OVER r AS next
+    FROM {node} WINDOW r AS (PARTITION BY s, k ORDER BY start, i)"""
+VIEWS["arc"] = """
+    SELECT s, k, 7 AS i, i AS j FROM {route} WHERE prev IS NULL
+    UNION ALL SELECT s, k, i, next FROM {route} WHERE next IS NOT NULL
+    UNION ALL SELECT s, k, i, 8 FROM {route} WHERE next IS NULL AND s % 10 <> 0
+    UNION ALL SELECT s, k, next, i FROM {route} WHERE next IS NOT NULL AND s % 10 = 0"""
+VIEWS["team"] = """
+    SELECT t.s, t.k, CASE WHEN n.s IS NULL THEN 0 ELSE 1 END AS used, 191 AS duration, 2.5::DOUBLE AS fixed
+    FROM (SELECT s, CAST(k AS INTEGER) AS k FROM (SELECT DISTINCT s FROM {node}) x, range(4) r(k)) t
+    LEFT JOIN (SELECT DISTINCT s, k FROM {node}) n ON n.s = t.s AND n.k = t.k"""
+VIEWS["begun"] = """
+    SELECT s, k, i, start FROM {node}
+    UNION ALL SELECT DISTINCT s, k, 7, 0 FROM {node}
+    UNION ALL SELECT n.s, n.k, 8, 1 + max(n.start + v.time) FROM {node} n JOIN {service} v USING (m) GROUP BY 1, 2"""
+
+
+def travel(i: str, j: str) -> str:
+    return f"CASE WHEN {i} = {j} THEN 0 WHEN {i} >= 7 OR {j} >= 7 THEN 1 ELSE abs({i} - {j}) % 3 + 1 END"
+
+
+VIEWS["served_time"] = """
+    SELECT s, i, sum(time) AS time FROM {assign} JOIN {service} USING (m) GROUP BY 1, 2"""
+VIEWS["timed"] = f"""
+    SELECT a.s, a.k, a.i, a.j, x.start AS leave, y.start AS begin, {travel('a.i', 'a.j')} AS transfer,
+           coalesce(v.time, 0) AS time
+    FROM {{arc}} a JOIN {{begun}} x ON x.s = a.s AND x.k = a.k AND x.i = a.i
+    LEFT JOIN {{begun}} y ON y.s = a.s AND y.k = a.k AND y.i = a.j
+    LEFT JOIN {{served_time}} v ON v.s = a.s AND v.i = a.i"""
+VIEWS["value_part"] = "SELECT s, sum(utility / price * weight) AS x FROM {assign} JOIN {service} USING (m) GROUP BY 1"
+VIEWS["start_part"] = "SELECT s, sum(start * weight) AS x FROM {node} GROUP BY 1"
+VIEWS["profit_part"] = f"""
+    SELECT s, sum(amount) AS x
+    FROM (SELECT s, price - cost AS amount FROM {{assign}} JOIN {{service}} USING (m)
+          UNION ALL SELECT s, -used * fixed FROM {{team}}
+          UNION ALL SELECT s, -1.5::DOUBLE * ({travel('i', 'j')}) FROM {{arc}}) t GROUP BY 1"""
+VIEWS["finish_part"] = "SELECT s, sum(start) AS x FROM {begun} WHERE i = 8 GROUP BY 1"
+
 
 def _needed(text: str, found: list[str]) -> None:
     for name in re.findall(r"\{(\w+)\}", text):
