@@ -9,7 +9,7 @@ from trialloom.functions import bundles as B
 from trialloom.functions.numeric import guarded_gain, is_close, safe_rate
 from trialloom.operators import clean, features, grids, leaderboard, profile
 from trialloom.plans.registry import query, rounded
-from trialloom.plans.sql_views import BUNDLE_TEXT
+from trialloom.plans.sql_views import BUNDLE_TEXT, MODEL_SIZE
 from trialloom.session import new_path
 from trialloom.sources import sinks, testbed, trial_log
 
@@ -181,24 +181,13 @@ def size_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_MODEL_SIZE_SQL = """
-    (customer_num + 2) * service_num + team_num + 2 * (customer_num + 2) * team_num
-      + (customer_num + 2) * (customer_num + 2) * team_num AS base_num_vars,
-    (customer_num + 2) * (customer_num + 2) * team_num + 4 * customer_num * team_num + 5 * team_num
-      + 2 * customer_num + product_num + 6 AS base_num_constrs,
-    (customer_num + 2) * (customer_num + 2) * team_num + 4 * customer_num * team_num + 5 * team_num
-      + 2 * customer_num + product_num + 6
-      + (((bundle_no >> 5) & 1) + ((bundle_no >> 4) & 1) + ((bundle_no >> 3) & 1))
-        * customer_num * customer_num * team_num AS root_num_constrs"""
-
-
 def with_model_size(trials: DataFrame) -> DataFrame:
     counted = B.with_active_counts(B.with_bits(trials))
     sizes = [F.col(c) for c in ("customer_num", "service_num", "product_num", "team_num")]
     return counted.withColumns(B.model_size(*sizes, F.col("root_active_count")))
 
 
-@query("model_size", f"SELECT instance_id, valid_selection, {_MODEL_SIZE_SQL} FROM {{tl}}")
+@query("model_size", f"SELECT instance_id, valid_selection, {MODEL_SIZE} FROM {{tl}}")
 def model_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_model_size(testbed.trials(spark, sf_dir)).select(
         "instance_id", "valid_selection", "base_num_vars", "base_num_constrs", "root_num_constrs"

@@ -252,6 +252,42 @@ VIEWS["profit_part"] = f"""
           UNION ALL SELECT s, -1.5::DOUBLE * ({travel('i', 'j')}) FROM {{arc}}) t GROUP BY 1"""
 VIEWS["finish_part"] = "SELECT s, sum(start) AS x FROM {begun} WHERE i = 8 GROUP BY 1"
 
+MODEL_SIZE = """
+    (customer_num + 2) * service_num + team_num + 2 * (customer_num + 2) * team_num
+      + (customer_num + 2) * (customer_num + 2) * team_num AS base_num_vars,
+    (customer_num + 2) * (customer_num + 2) * team_num + 4 * customer_num * team_num + 5 * team_num
+      + 2 * customer_num + product_num + 6 AS base_num_constrs,
+    (customer_num + 2) * (customer_num + 2) * team_num + 4 * customer_num * team_num + 5 * team_num
+      + 2 * customer_num + product_num + 6
+      + (((bundle_no >> 5) & 1) + ((bundle_no >> 4) & 1) + ((bundle_no >> 3) & 1))
+        * customer_num * customer_num * team_num AS root_num_constrs"""
+VIEWS["model"] = f"""
+    SELECT t.*, (bundle_no >> 5) & 1 AS bundle_bit_1, (bundle_no >> 4) & 1 AS bundle_bit_2,
+           (bundle_no >> 3) & 1 AS bundle_bit_3, (bundle_no >> 2) & 1 AS bundle_bit_4,
+           (bundle_no >> 1) & 1 AS bundle_bit_5, bundle_no & 1 AS bundle_bit_6,
+           ((bundle_no >> 5) & 1) + ((bundle_no >> 4) & 1) + ((bundle_no >> 3) & 1) AS root_active_count,
+           ((bundle_no >> 2) & 1) + ((bundle_no >> 1) & 1) + (bundle_no & 1) AS later_active_count,
+           {MODEL_SIZE}, w.* EXCLUDE (random_seed),
+           CASE WHEN abs(full_runtime - best) <= 1e-8 + 1e-5 * abs(best) THEN 1 ELSE 0 END AS is_best
+    FROM (SELECT *, min(full_runtime) OVER (PARTITION BY instance_id) AS best FROM {{complete}}) t
+    LEFT JOIN {{wide_stats}} w ON w.random_seed = t.random_seed"""
+MODEL_COLUMNS = [
+    *"scale_phase scale_stage size_signature random_seed ordinal customer_num service_num product_num".split(),
+    *"team_num bundle_no".split(),
+    *[f"bundle_bit_{i}" for i in range(1, 7)],
+    *"root_active_count later_active_count base_num_vars base_num_constrs root_num_constrs".split(),
+    *[f"{a}_{stat}" for a in ARRAYS for stat in ("median", "mode", "skew", "kurtosis")],
+]
+
+
+def per_feature(select: str) -> str:
+    """One row per feature that passes the screen; ``x`` stands for the feature's number."""
+    return "\nUNION ALL ".join(
+        f"""SELECT '{c}' AS feature, {select} FROM (SELECT try_cast({c} AS DOUBLE) AS x, full_runtime, is_best FROM {{model}}) t
+            HAVING count(x) >= 0.95 * count(*) AND count(DISTINCT x) > 1"""
+        for c in MODEL_COLUMNS
+    )
+
 
 def _needed(text: str, found: list[str]) -> None:
     for name in re.findall(r"\{(\w+)\}", text):
