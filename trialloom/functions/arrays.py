@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialloom.columns import STAT_ARRAYS
-from trialloom.functions.numeric import finite
+from trialloom.functions.numeric import finite_sql
 
 # A printed number, and the precision below which a spread counts as none.
 NUMBER = r"[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?"
@@ -21,124 +21,110 @@ def extract_numbers(cell: Column) -> Column:
     return found.cast("array<double>")
 
 
-def _picked(ordered: Column, index: Column) -> Column:
-    return F.get(ordered, index.cast("int"))
-
-
 def quantile(ordered: Column, p: float) -> Column:
     """Linear-interpolation quantile of an already sorted array; null when empty."""
     spot = F.lit(p) * (F.size(ordered) - 1)
-    low, high = _picked(ordered, F.floor(spot)), _picked(ordered, F.ceil(spot))
+    low = F.get(ordered, F.floor(spot).cast("int"))
+    high = F.get(ordered, F.ceil(spot).cast("int"))
     return low + (high - low) * (spot - F.floor(spot))
 
 
-def median(ordered: Column) -> Column:
-    n = F.size(ordered)
-    low, high = _picked(ordered, F.floor((n - 1) / 2)), _picked(ordered, F.floor(n / 2))
-    return (low + high) / 2
-
-
-def mode(ordered: Column) -> Column:
-    """Most frequent value of a sorted array, the smallest on ties."""
-    zero = F.struct(
-        F.lit(None).cast("double").alias("best"),
-        F.lit(0).alias("best_run"),
-        F.lit(None).cast("double").alias("value"),
-        F.lit(0).alias("run"),
-    )
+def mean(values: Column) -> Column:
+    total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+    return total / F.nullif(F.size(values), F.lit(0))
 
-    def step(acc: Column, x: Column) -> Column:
-        run = F.when(acc["value"] == x, acc["run"] + 1).otherwise(1)
-        better = run > acc["best_run"]
-        return F.struct(
-            F.when(better, x).otherwise(acc["best"]).alias("best"),
-            F.when(better, run).otherwise(acc["best_run"]).alias("best_run"),
-            x.alias("value"),
-            run.alias("run"),
-        )
 
-    return F.aggregate(ordered, zero, step, lambda acc: acc["best"])
+# The statistics below are SQL text over column names, since a log has a dozen array
+# columns and one parsed text is far cheaper to build than dozens of column objects.
 
 
-def total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+def mean_sql(o: str) -> str:
+    return f"aggregate({o}, 0D, (acc, x) -> acc + x) / nullif(size({o}), 0)"
 
 
-def mean(values: Column) -> Column:
-    return total(values) / F.nullif(F.size(values), F.lit(0))
+def median_sql(o: str) -> str:
+    """Of a sorted array; null when empty."""
+    low, high = f"get({o}, cast((size({o}) - 1) div 2 as int))", f"get({o}, cast(size({o}) div 2 as int))"
+    return f"if(size({o}) = 0, null, ({low} + {high}) / 2)"
 
 
-def central_moments(values: Column, centre: Column) -> Column:
-    """Second to fourth central moments in one pass, as a struct."""
-    zero = F.struct(F.lit(0.0).alias("m2"), F.lit(0.0).alias("m3"), F.lit(0.0).alias("m4"))
+def mode_sql(o: str) -> str:
+    """Most frequent value of a sorted array by its longest run, the smallest on ties."""
+    zero = "named_struct('best', cast(null as double), 'best_run', 0, 'value', cast(null as double), 'run', 0)"
+    run = "if(acc.value = x, acc.run + 1, 1)"
+    step = (
+        f"named_struct('best', if({run} > acc.best_run, x, acc.best), 'best_run', greatest({run}, acc.best_run), "
+        f"'value', x, 'run', {run})"
+    )
+    return f"aggregate({o}, {zero}, (acc, x) -> {step}, acc -> acc.best)"
 
-    def step(acc: Column, x: Column) -> Column:
-        d = x - centre
-        return F.struct(
-            (acc["m2"] + d * d).alias("m2"),
-            (acc["m3"] + d * d * d).alias("m3"),
-            (acc["m4"] + d * d * d * d).alias("m4"),
-        )
 
-    n = F.nullif(F.size(values), F.lit(0))
-    return F.aggregate(
-        values,
-        zero,
-        step,
-        lambda acc: F.struct(
-            (acc["m2"] / n).alias("m2"), (acc["m3"] / n).alias("m3"), (acc["m4"] / n).alias("m4")
-        ),
+def moments_sql(o: str, c: str) -> str:
+    """Second to fourth central moments around ``c`` in one pass, as a struct."""
+    zero = "named_struct('m2', 0D, 'm3', 0D, 'm4', 0D)"
+    d = f"(x - {c})"
+    step = (
+        f"named_struct('m2', acc.m2 + {d} * {d}, 'm3', acc.m3 + {d} * {d} * {d}, "
+        f"'m4', acc.m4 + {d} * {d} * {d} * {d})"
     )
+    n = f"nullif(size({o}), 0)"
+    last = f"named_struct('m2', acc.m2 / {n}, 'm3', acc.m3 / {n}, 'm4', acc.m4 / {n})"
+    return f"aggregate({o}, {zero}, (acc, x) -> {step}, acc -> {last})"
 
 
-def _spread(m2: Column, centre: Column) -> Column:
+def _spread_sql(c: str, m: str) -> str:
     """The second moment, or null where the values are constant."""
-    return F.when(m2 > F.pow(F.lit(RESOLUTION) * centre, F.lit(2.0)), m2)
+    return f"if({m}.m2 > power({RESOLUTION}D * {c}, 2), {m}.m2, null)"
 
 
-def skew(n: Column, centre: Column, moments: Column) -> Column:
+def skew_sql(o: str, c: str, m: str) -> str:
     """Bias-corrected skew; up to two values stay uncorrected, a constant gives null."""
-    m2 = _spread(moments["m2"], centre)
-    g1 = moments["m3"] / F.pow(m2, F.lit(1.5))
-    return finite(F.when(n > 2, g1 * F.sqrt(n * (n - 1.0)) / (n - 2)).otherwise(g1))
+    n = f"cast(size({o}) as double)"
+    g1 = f"({m}.m3 / power({_spread_sql(c, m)}, 1.5D))"
+    return f"if({n} > 2, sqrt({n} * ({n} - 1)) / nullif({n} - 2, 0D) * {g1}, {g1})"
 
 
-def kurtosis(n: Column, centre: Column, moments: Column) -> Column:
+def kurtosis_sql(o: str, c: str, m: str) -> str:
     """Bias-corrected excess kurtosis; up to three values stay uncorrected, a constant gives null."""
-    m2 = _spread(moments["m2"], centre)
-    g2 = moments["m4"] / (m2 * m2) - 3
-    corrected = (n - 1) / ((n - 2.0) * (n - 3)) * ((n + 1) * g2 + 6)
-    return finite(F.when(n > 3, corrected).otherwise(g2))
+    n = f"cast(size({o}) as double)"
+    g2 = f"({m}.m4 / power({_spread_sql(c, m)}, 2) - 3)"
+    factor = f"({n} - 1) / nullif(({n} - 2) * ({n} - 3), 0D)"
+    return f"if({n} > 3, {factor} * (({n} + 1) * {g2} + 6), {g2})"
+
+
+def numbers_sql(cell: str) -> str:
+    return f"cast(regexp_extract_all(coalesce({cell}, ''), '({_QUOTED})', 1) as array<double>)"
 
 
-def with_stats(df: DataFrame, arrays: dict[str, Column]) -> DataFrame:
-    """Add median, mode, skew and kurtosis of each array as ``<prefix>_<stat>``.
+_QUOTED = NUMBER.replace("\\", "\\\\")
 
-    Three projections, so that each array is parsed, sorted and averaged once.
+
+def with_stats(df: DataFrame, cells: dict[str, str]) -> DataFrame:
+    """Add median, mode, skew and kurtosis of printed cells as ``<prefix>_<stat>``.
+
+    ``cells`` maps each prefix to its text column. Three projections, so that each cell is
+    parsed, sorted and averaged once.
     """
-    names = df.columns
-    ordered = df.select("*", *[F.sort_array(a).alias(f"_o_{p}") for p, a in arrays.items()])
-    centred = ordered.select("*", *[mean(F.col(f"_o_{p}")).alias(f"_c_{p}") for p in arrays])
-    moments = centred.select(
-        "*", *[central_moments(F.col(f"_o_{p}"), F.col(f"_c_{p}")).alias(f"_m_{p}") for p in arrays]
-    )
+    names = [f"`{c}`" for c in df.columns]
+    ordered = df.selectExpr("*", *[f"sort_array({numbers_sql(c)}) as _o_{p}" for p, c in cells.items()])
+    centred = ordered.selectExpr("*", *[f"{mean_sql('_o_' + p)} as _c_{p}" for p in cells])
+    moments = centred.selectExpr("*", *[f"{moments_sql('_o_' + p, '_c_' + p)} as _m_{p}" for p in cells])
     stats = []
-    for p in arrays:
-        o, c, m = F.col(f"_o_{p}"), F.col(f"_c_{p}"), F.col(f"_m_{p}")
-        n = F.size(o)
+    for p in cells:
+        o, c, m = f"_o_{p}", f"_c_{p}", f"_m_{p}"
         stats += [
-            median(o).alias(f"{p}_median"),
-            mode(o).alias(f"{p}_mode"),
-            skew(n, c, m).alias(f"{p}_skew"),
-            kurtosis(n, c, m).alias(f"{p}_kurtosis"),
+            f"{median_sql(o)} as {p}_median",
+            f"{mode_sql(o)} as {p}_mode",
+            f"{finite_sql(skew_sql(o, c, m))} as {p}_skew",
+            f"{finite_sql(kurtosis_sql(o, c, m))} as {p}_kurtosis",
         ]
-    return moments.select(*names, *stats)
+    return moments.selectExpr(*names, *stats)
 
 
 def with_all_stats(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """The statistics block for the printed array columns of a trial log."""
     chosen = [c for c, _ in STAT_ARRAYS] if columns is None else list(columns)
-    return with_stats(df, {c: extract_numbers(F.col(c)) for c in chosen})
+    return with_stats(df, {c: c for c in chosen})
 
 
 def deviation(values: Column, centre: Column) -> Column:

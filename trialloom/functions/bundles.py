@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -17,71 +17,58 @@ LAST_STAGE = "S5"
 BIT_COLUMNS = [f"bundle_bit_{i}" for i in range(1, BITS + 1)]
 
 
-def bundle_text(number: Column) -> Column:
-    """Print the number 0..63 as ``(b1, b2, b3, b4, b5, b6)``, highest bit first."""
-    bits = [F.shiftright(number.cast("int"), BITS - i).bitwiseAND(F.lit(1)) for i in range(1, BITS + 1)]
-    return F.concat(F.lit("("), F.concat_ws(", ", *[b.cast("string") for b in bits]), F.lit(")"))
-
-
-def bundle_bits(bundle: Column) -> list[Column]:
-    """Six 0/1 columns from the bundle text; any other number of bits is an error."""
-    parts = F.split(F.regexp_replace(bundle, r"[()\[\]\s]", ""), ",")
-    message = F.concat(F.lit("expected 6 bundle bits, got "), bundle)
-    checked = F.when(F.size(parts) == BITS, parts).otherwise(
-        F.raise_error(message).cast("array<string>")
-    )
-    return [F.element_at(checked, i).cast("int").alias(name) for i, name in enumerate(BIT_COLUMNS, 1)]
+def bundle_text(number: str) -> Column:
+    """Print a column of numbers 0..63 as ``(b1, b2, b3, b4, b5, b6)``, highest bit first."""
+    bits = ", ".join(f"shiftright({number}, {BITS - i}) & 1" for i in range(1, BITS + 1))
+    return F.expr(f"format_string('(%d, %d, %d, %d, %d, %d)', {bits})")
 
 
 def with_bits(df: DataFrame, bundle: str = "valid_selection") -> DataFrame:
-    return df.select("*", *bundle_bits(F.col(bundle)))
+    """Add six 0/1 columns from the bundle text; any other number of bits is an error."""
+    parts = f"split(regexp_replace({bundle}, '[()\\\\[\\\\]\\\\s]', ''), ',')"
+    checked = (
+        f"if(size({parts}) = {BITS}, {parts}, "
+        f"cast(raise_error(concat('expected {BITS} bundle bits, got ', {bundle})) as array<string>))"
+    )
+    bits = [f"cast(element_at(_bits, {i}) as int) as {name}" for i, name in enumerate(BIT_COLUMNS, 1)]
+    return df.selectExpr("*", f"{checked} as _bits").selectExpr(*[f"`{c}`" for c in df.columns], *bits)
 
 
 def with_active_counts(df: DataFrame) -> DataFrame:
     """Options active at the root (first three bits) and later (last three)."""
-    return df.withColumns(
-        {
-            "root_active_count": sum((F.col(c) for c in BIT_COLUMNS[1:3]), F.col(BIT_COLUMNS[0])),
-            "later_active_count": sum((F.col(c) for c in BIT_COLUMNS[4:6]), F.col(BIT_COLUMNS[3])),
-        }
+    return df.selectExpr(
+        "*",
+        f"{' + '.join(BIT_COLUMNS[:3])} as root_active_count",
+        f"{' + '.join(BIT_COLUMNS[3:])} as later_active_count",
     )
 
 
-def stage_of(ordinal: Column) -> Column:
-    label = F.lit(LAST_STAGE)
-    for limit, stage in reversed(STAGE_LIMITS):
-        label = F.when(ordinal <= limit, stage).otherwise(label)
-    return label
+def stage_of(ordinal: str) -> Column:
+    cases = " ".join(f"when {ordinal} <= {limit} then '{stage}'" for limit, stage in STAGE_LIMITS)
+    return F.expr(f"case {cases} else '{LAST_STAGE}' end")
 
 
-def phase_of(ordinal: Column) -> Column:
-    return F.when(ordinal <= STAGE_LIMITS[0][0], BASELINE_PHASE).otherwise(STRESS_PHASE)
+def phase_of(ordinal: str) -> Column:
+    return F.expr(f"if({ordinal} <= {STAGE_LIMITS[0][0]}, '{BASELINE_PHASE}', '{STRESS_PHASE}')")
 
 
-def size_signature(customers: Column, services: Column, products: Column, teams: Column) -> Column:
-    return F.format_string("I%d_M%d_N%d_K%d", customers, services, products, teams)
+def size_signature(customers: str, services: str, products: str, teams: str) -> Column:
+    return F.expr(f"format_string('I%d_M%d_N%d_K%d', {customers}, {services}, {products}, {teams})")
 
 
-def model_size(i: Column, m: Column, n: Column, k: Column, root_bits: Column) -> dict[str, Column]:
-    """Variables and rules of the routing model in closed form.
+def with_model_size(df: DataFrame, i: str, m: str, n: str, k: str, root_bits: str) -> DataFrame:
+    """Add the variables and rules of the routing model in closed form.
 
     ``i`` customers, ``m`` services, ``n`` products, ``k`` teams; each active root option
     adds one rule per ordered customer pair and team.
     """
-    places = i + 2
-    arcs = places * places * k
-    base = arcs + 4 * i * k + 5 * k + 2 * i + n + 6
-    return {
-        "base_num_vars": places * m + k + 2 * places * k + arcs,
-        "base_num_constrs": base,
-        "root_num_constrs": base + root_bits * i * i * k,
-    }
-
-
-def all_bundles(spark: SparkSession) -> DataFrame:
-    """The 64 bundles, first bit slowest."""
-    return spark.range(EXPECTED_BUNDLES).select(
-        F.col("id").cast("int").alias("bundle_no"), bundle_text(F.col("id")).alias("valid_selection")
+    arcs = f"({i} + 2) * ({i} + 2) * {k}"
+    base = f"{arcs} + 4 * {i} * {k} + 5 * {k} + 2 * {i} + {n} + 6"
+    return df.selectExpr(
+        "*",
+        f"({i} + 2) * {m} + {k} + 2 * ({i} + 2) * {k} + {arcs} as base_num_vars",
+        f"{base} as base_num_constrs",
+        f"{base} + {root_bits} * {i} * {i} * {k} as root_num_constrs",
     )
 
 
@@ -89,5 +76,5 @@ def factorial_grid(instances: DataFrame) -> DataFrame:
     """Every instance under every bundle; the grid side is fixed at 64 rows."""
     numbers = F.explode(F.sequence(F.lit(0), F.lit(EXPECTED_BUNDLES - 1)))
     return instances.withColumn("bundle_no", numbers).withColumn(
-        "valid_selection", bundle_text(F.col("bundle_no"))
+        "valid_selection", bundle_text("bundle_no")
     )

@@ -9,19 +9,25 @@ from pyspark.sql import functions as F
 PLAIN_NUMBER = r"^\s*[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?\s*$"
 
 
-def is_number(text: Column) -> Column:
-    return text.rlike(PLAIN_NUMBER)
+_QUOTED = PLAIN_NUMBER.replace("\\", "\\\\")
 
 
-def to_number(text: Column) -> Column:
+def is_number_sql(text: str) -> str:
+    return f"{text} rlike '{_QUOTED}'"
+
+
+def to_number_sql(text: str) -> str:
     """Lenient cast: anything but a plain number gives null, never NaN."""
-    text = text.cast("string")
-    return F.when(is_number(text), F.trim(text).try_cast("double"))
+    return f"if({is_number_sql(text)}, try_cast(trim({text}) as double), null)"
+
+
+def to_number(column: str) -> Column:
+    return F.expr(to_number_sql(f"cast(`{column}` as string)"))
 
 
-def finite(value: Column) -> Column:
+def finite_sql(x: str) -> str:
     """Null instead of NaN; aggregates skip nulls but would return NaN."""
-    return F.when(~F.isnan(value), value)
+    return f"nullif({x}, double('NaN'))"
 
 
 def is_close(a: Column, b: Column, rel: float = 1e-5, absolute: float = 1e-8) -> Column:
@@ -39,16 +45,14 @@ def safe_rate(part: Column, whole: Column) -> Column:
     return part / F.greatest(whole, F.lit(1))
 
 
-def pearson(x: Column, y: Column) -> Column:
+def pearson_sql(x: str, y: str) -> str:
     """Aggregate: correlation over rows where both are present, null if either is constant."""
-    both = x.isNotNull() & y.isNotNull()
-    sx = F.stddev_pop(F.when(both, x))
-    sy = F.stddev_pop(F.when(both, y))
-    return F.try_divide(F.covar_pop(x, y), sx * sy)
+    sx, sy = f"stddev_pop(if({y} is null, null, {x}))", f"stddev_pop(if({x} is null, null, {y}))"
+    return f"try_divide(covar_pop({x}, {y}), {sx} * {sy})"
 
 
-def sample_skew(x: Column) -> Column:
+def sample_skew(x: str) -> Column:
     """Aggregate: bias-corrected skew; null below three values, 0 for a constant."""
-    n = F.count(x).cast("double")
-    corrected = F.skewness(x) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0))
-    return F.when(F.count(x) < 3, None).when(F.stddev_pop(x) == 0, F.lit(0.0)).otherwise(corrected)
+    n = f"cast(count({x}) as double)"
+    corrected = f"skewness({x}) * sqrt({n} * ({n} - 1)) / nullif({n} - 2, 0D)"
+    return F.expr(f"case when count({x}) < 3 then null when stddev_pop({x}) = 0 then 0D else {corrected} end")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +19,8 @@ INSTANCE_KEYS = ["scale_phase", "scale_stage", "size_signature", "random_seed"]
 
 def drop_header_rows(df: DataFrame) -> DataFrame:
     """Remove rows in which every cell repeats its own column name."""
-    is_header = reduce(
-        lambda a, b: a & b, [F.coalesce(F.col(f"`{c}`") == F.lit(c), F.lit(False)) for c in df.columns]
-    )
-    return df.where(~is_header)
+    is_header = " and ".join(f"`{c}` <=> '{c}'" for c in df.columns)
+    return df.where(f"not ({is_header})")
 
 
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:
@@ -33,7 +29,7 @@ def drop_duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def coerce(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: to_number(F.col(c)) for c in columns})
+    return df.withColumns({c: to_number(c) for c in columns})
 
 
 def drop_missing_keys(df: DataFrame, target: str = TARGET, seed: str = SEED) -> DataFrame:
@@ -48,7 +44,7 @@ def with_instance_id(df: DataFrame) -> DataFrame:
     """Join the key columns with ``|``; a numeric seed prints as a whole number."""
     seed = F.col(SEED).cast("string")
     if dict(df.dtypes)[SEED] not in ("int", "bigint"):
-        seed = F.coalesce(to_number(F.col(SEED)).cast("long").cast("string"), seed)
+        seed = F.coalesce(to_number(SEED).cast("long").cast("string"), seed)
     keys = [seed if c == SEED else F.col(c) for c in INSTANCE_KEYS]
     return df.withColumn(INSTANCE, F.concat_ws("|", *keys))
 

@@ -76,24 +76,14 @@ def bit_effects(df: DataFrame) -> DataFrame:
     """Mean measure with each option off and on, in one pass over the log."""
     means = with_bits(df).agg(
         *[
-            F.avg(F.when(F.col(bit) == value, F.col(TARGET))).alias(f"{bit}_{value}")
+            F.expr(f"avg({TARGET}) filter (where {bit} = {value})").alias(f"{bit}_{value}")
             for bit in BIT_COLUMNS
             for value in (0, 1)
         ]
     )
-    rows = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(bit).alias("feature"), F.col(f"{bit}_0").alias("off"), F.col(f"{bit}_1").alias("on"))
-                for bit in BIT_COLUMNS
-            ]
-        )
-    )
-    return means.select(rows.alias("e")).select(
-        "e.feature",
-        F.col("e.off").alias("runtime_when_0"),
-        F.col("e.on").alias("runtime_when_1"),
-        (F.col("e.on") - F.col("e.off")).alias("delta_1_minus_0"),
+    entries = ", ".join(f"named_struct('feature', '{b}', 'off', {b}_0, 'on', {b}_1)" for b in BIT_COLUMNS)
+    return means.selectExpr(f"inline(array({entries}))").selectExpr(
+        "feature", "off as runtime_when_0", "on as runtime_when_1", "on - off as delta_1_minus_0"
     )
 
 

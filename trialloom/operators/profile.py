@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialloom.functions.arrays import extract_numbers
+from trialloom.functions.arrays import numbers_sql
 from trialloom.functions.bundles import EXPECTED_BUNDLES
-from trialloom.functions.numeric import finite, sample_skew, to_number
+from trialloom.functions.numeric import finite_sql, sample_skew, to_number
 from trialloom.functions.ordering import summarise
 from trialloom.operators.clean import INSTANCE, SEED, TARGET
 
@@ -36,7 +35,7 @@ def measure_summary(
     df: DataFrame, by: Sequence[str] = (), *, value: str = TARGET, max_rows: int | None = None
 ) -> DataFrame:
     """Nine numbers per group: count, mean, population std, min, quartiles, max, sample skew."""
-    x = finite(F.col(value).try_cast("double"))
+    x = F.expr(finite_sql(f"try_cast(`{value}` as double)"))
     # An empty group has count 0 and nulls; the columns are named as a profile reads.
     return summarise(
         df.select(*by, x.alias("_x")),
@@ -47,7 +46,7 @@ def measure_summary(
             F.stddev_pop("_x").alias("std"),
             F.min("_x").alias("min"),
             F.max("_x").alias("max"),
-            sample_skew(F.col("_x")).alias("skew"),
+            sample_skew("_x").alias("skew"),
         ],
         {"_x": QUARTILES},
         max_group_rows=max_rows,
@@ -74,8 +73,8 @@ def data_quality(df: DataFrame, expected: int = EXPECTED_BUNDLES) -> DataFrame:
     """One row: rows, instances, copies, missing keys, complete instances, group sizes."""
     per_instance = df.groupBy(INSTANCE).agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(to_number(F.col(TARGET)).isNull()).alias("no_target"),
-        F.count_if(to_number(F.col(SEED)).isNull()).alias("no_seed"),
+        F.count_if(to_number(TARGET).isNull()).alias("no_target"),
+        F.count_if(to_number(SEED).isNull()).alias("no_seed"),
     )
     known = F.col(INSTANCE).isNotNull()
     size = F.when(known, F.col("n"))
@@ -93,21 +92,19 @@ def data_quality(df: DataFrame, expected: int = EXPECTED_BUNDLES) -> DataFrame:
 
 def length_mismatch(df: DataFrame, rules: Sequence[tuple[str, str]] = LENGTH_RULES) -> DataFrame:
     """Per row, 1 where an array's length differs from the rule."""
-    flags = {
-        f"{column}_mismatch": (F.size(extract_numbers(F.col(column))) != F.expr(rule)).cast("int")
-        for column, rule in rules
-    }
-    return df.withColumns(flags)
+    return df.selectExpr(
+        "*", *[f"int(size({numbers_sql(column)}) != {rule}) as {column}_mismatch" for column, rule in rules]
+    )
 
 
 def length_checks(df: DataFrame, rules: Sequence[tuple[str, str]] = LENGTH_RULES) -> DataFrame:
     """Per array column: rows checked, mismatches and their rate, from one pass."""
     flagged = length_mismatch(df, rules).agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.coalesce(F.sum(f"{c}_mismatch"), F.lit(0)).alias(c) for c, _ in rules],
+        *[F.expr(f"coalesce(sum({c}_mismatch), 0L)").alias(c) for c, _ in rules],
     )
-    entry = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("bad")) for c, _ in rules]))
-    return flagged.select("rows", entry.alias("e")).select(
+    entries = ", ".join(f"named_struct('column', '{c}', 'bad', {c})" for c, _ in rules)
+    return flagged.selectExpr("rows", f"explode(array({entries})) as e").select(
         "e.column",
         F.col("rows").alias("checked_rows"),
         F.col("e.bad").alias("mismatch_count"),
@@ -133,7 +130,3 @@ def histogram(df: DataFrame, value: str, bins: int = HISTOGRAM_BINS) -> DataFram
 
 def stage_label(df: DataFrame) -> DataFrame:
     return df.withColumn("stage_label", F.concat_ws("|", "scale_phase", "scale_stage"))
-
-
-def any_null(*columns: str) -> Column:
-    return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialloom.functions.numeric import is_close, is_number, pearson, to_number
+from trialloom.functions.numeric import finite_sql, is_close, is_number_sql, pearson_sql, to_number, to_number_sql
 from trialloom.functions.ordering import rank_within
 from trialloom.operators.clean import BUNDLE, INSTANCE, TARGET
 from trialloom.operators.leaderboard import with_group_best
@@ -17,11 +17,10 @@ MIN_VALID = 0.95
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
-def _number(df: DataFrame, column: str) -> Column:
-    if dict(df.dtypes)[column] in NUMERIC_TYPES:
-        value = F.col(f"`{column}`").cast("double")
-        return F.when(~F.isnan(value), value)
-    return to_number(F.col(f"`{column}`"))
+def _number(df_types: dict[str, str], column: str) -> str:
+    if df_types[column] in NUMERIC_TYPES:
+        return finite_sql(f"cast(`{column}` as double)")
+    return to_number_sql(f"`{column}`")
 
 
 def _scalar_columns(df: DataFrame) -> list[str]:
@@ -35,10 +34,11 @@ def candidate_features(df: DataFrame) -> list[str]:
     value, so nothing needs a distinct count.
     """
     names = [c for c in _scalar_columns(df) if c not in NOT_FEATURES]
-    facts = df.agg(
+    numbers = numeric_features(df, names)
+    facts = numbers.agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.count(_number(df, c)).alias(f"_n_{c}") for c in names],
-        *[(F.min(_number(df, c)) < F.max(_number(df, c))).alias(f"_varies_{c}") for c in names],
+        *[F.count(f"`{c}`").alias(f"_n_{c}") for c in names],
+        *[F.expr(f"min(`{c}`) < max(`{c}`)").alias(f"_varies_{c}") for c in names],
     ).first()
     rows = facts["_rows"]
     return [c for c in names if rows and facts[f"_n_{c}"] / rows >= MIN_VALID and facts[f"_varies_{c}"]]
@@ -52,18 +52,20 @@ def candidate_table(df: DataFrame) -> DataFrame:
 
 
 def numeric_features(df: DataFrame, names: Sequence[str], *keep: str) -> DataFrame:
-    return df.select(*keep, *[_number(df, c).alias(c) for c in names])
+    """The named columns as numbers; ``keep`` are further SQL expressions."""
+    types = dict(df.dtypes)
+    return df.selectExpr(*keep, *[f"{_number(types, c)} as `{c}`" for c in names])
 
 
 def _long(one_row: DataFrame, names: Sequence[str], fields: dict[str, str]) -> DataFrame:
     """Turn ``<prefix><feature>`` columns of a one-row table into one row per feature."""
-    entries = [
-        F.struct(
-            F.lit(c).alias("feature"), *[F.col(f"`{prefix}{c}`").alias(out) for out, prefix in fields.items()]
-        )
+    entries = ", ".join(
+        f"named_struct('feature', '{c}', "
+        + ", ".join(f"'{out}', `{prefix}{c}`" for out, prefix in fields.items())
+        + ")"
         for c in names
-    ]
-    return one_row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    )
+    return one_row.selectExpr(f"explode(array({entries})) as e").select("e.*")
 
 
 def feature_summary(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
@@ -71,14 +73,14 @@ def feature_summary(df: DataFrame, names: Sequence[str] | None = None) -> DataFr
     names = candidate_features(df) if names is None else list(names)
     numbers = numeric_features(df, names)
     moments = numbers.agg(
-        *[(F.count(f"`{c}`") / F.count(F.lit(1))).alias(f"v_{c}") for c in names],
-        *[F.avg(f"`{c}`").alias(f"m_{c}") for c in names],
-        *[F.stddev_pop(f"`{c}`").alias(f"s_{c}") for c in names],
+        *[F.expr(f"count(`{c}`) / count(1)").alias(f"v_{c}") for c in names],
+        *[F.expr(f"avg(`{c}`)").alias(f"m_{c}") for c in names],
+        *[F.expr(f"stddev_pop(`{c}`)").alias(f"s_{c}") for c in names],
     )
     table = _long(moments, names, {"valid_ratio": "v_", "mean": "m_", "std": "s_"})
     # Repeated values collapse on the map side, so the shuffle carries distinct values only.
     distinct = (
-        numbers.unpivot([], [F.col(f"`{c}`") for c in names], "feature", "x")
+        numbers.unpivot([], list(names), "feature", "x")
         .where(F.col("x").isNotNull())
         .groupBy("feature", "x")
         .agg(F.lit(1).alias("one"))
@@ -90,8 +92,7 @@ def feature_summary(df: DataFrame, names: Sequence[str] | None = None) -> DataFr
 
 def _signal(df: DataFrame, names: Sequence[str], against: str, label: str) -> DataFrame:
     """Correlation of all features with one column, from a single aggregation."""
-    y = F.col(f"`{against}`").cast("double")
-    numbers = df.agg(*[pearson(F.col(f"`{c}`"), y).alias(f"r_{c}") for c in names])
+    numbers = df.agg(*[F.expr(pearson_sql(f"`{c}`", against)).alias(f"r_{c}") for c in names])
     table = _long(numbers, names, {label: "r_"})
     return table.withColumn(f"abs_{label}", F.abs(label)).orderBy(
         F.col(f"abs_{label}").desc_nulls_last(), "feature"
@@ -100,7 +101,7 @@ def _signal(df: DataFrame, names: Sequence[str], against: str, label: str) -> Da
 
 def signal_to_measure(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     names = candidate_features(df) if names is None else list(names)
-    numbers = numeric_features(df, names, F.col(TARGET).alias("_y"))
+    numbers = numeric_features(df, names, f"{TARGET} as _y")
     return _signal(numbers, names, "_y", "pearson_with_runtime")
 
 
@@ -110,7 +111,8 @@ def signal_to_best(
     """Correlation with the flag of being best in one's instance."""
     names = candidate_features(df) if names is None else list(names)
     best = with_group_best(df, name="_best", max_group_rows=max_group_rows)
-    numbers = numeric_features(best, names, is_close(F.col(TARGET), F.col("_best")).alias("_y"))
+    flagged = best.withColumn("_y", is_close(F.col(TARGET), F.col("_best")).cast("double"))
+    numbers = numeric_features(flagged, names, "_y")
     return _signal(numbers, names, "_y", "pearson_with_optimal_flag")
 
 
@@ -120,7 +122,7 @@ def text_columns(df: DataFrame) -> list[str]:
     if not texts:
         return []
     wordy = df.agg(
-        *[F.count_if((F.trim(f"`{c}`") != "") & ~is_number(F.col(f"`{c}`"))).alias(c) for c in texts]
+        *[F.expr(f"count_if(trim(`{c}`) != '' and not {is_number_sql(f'`{c}`')})").alias(c) for c in texts]
     ).first()
     return [c for c in texts if wordy[c] > 0]
 
@@ -134,7 +136,7 @@ def encode_mixed(df: DataFrame, *, max_rows: int | None = None) -> DataFrame:
     encoded = df
     for column in [c for c, kind in df.dtypes if kind == "string"]:
         if column not in wordy:
-            encoded = encoded.withColumn(column, to_number(F.col(f"`{column}`")))
+            encoded = encoded.withColumn(column, to_number(column))
             continue
         values = df.select(F.col(f"`{column}`").alias("_value")).where(F.col("_value").isNotNull()).distinct()
         codes = rank_within(values, [], "_value", name="_code", method="dense", max_group_rows=max_rows)

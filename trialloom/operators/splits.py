@@ -19,7 +19,7 @@ PREFIX = 5
 
 def draw(seed: int, *columns: str) -> Column:
     """Uniform text draw of a key."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
+    return F.expr(f"md5(concat_ws('|', '{int(seed)}', {', '.join(f'`{c}`' for c in columns)}))")
 
 
 def held_out_limit(keys: DataFrame, columns: Sequence[str], test_size: float, seed: int) -> DataFrame:
@@ -57,12 +57,12 @@ def with_split(
 ) -> DataFrame:
     """Add ``train`` / ``test``; exactly ceil(test_size * n) of the n distinct keys are held out.
 
-    The limit reaches the rows as a scalar, so the log itself is not shuffled. ``unique``
-    says that the keys do not repeat.
+    The limit is found first, as one short text, so that the split itself is a narrow
+    projection and the log is not shuffled. ``unique`` says that the keys do not repeat.
     """
     keys = df.select(*columns)
-    limit = held_out_limit(keys if unique else keys.distinct(), columns, test_size, seed).scalar()
-    side = F.when(draw(seed, *columns) <= limit, "test").otherwise("train")
+    limit = held_out_limit(keys if unique else keys.distinct(), columns, test_size, seed).first()["limit"]
+    side = F.when(draw(seed, *columns) <= F.lit(limit), "test").otherwise("train")
     return df.withColumn(name, side)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialloom.functions.numeric import pearson
+from trialloom.functions.numeric import pearson_sql
 from trialloom.functions.ordering import rank_within, summarise
 from trialloom.operators.clean import BUNDLE, INSTANCE, TARGET
 from trialloom.operators.instances import best_of
@@ -35,7 +35,7 @@ def with_average_ranks(df: DataFrame, *, max_group_rows: int | None = None) -> D
 def spearman_by_group(df: DataFrame, *, max_group_rows: int | None = None) -> DataFrame:
     """Rank correlation per instance, null where either side is constant."""
     ranked = with_average_ranks(df, max_group_rows=max_group_rows)
-    return ranked.groupBy(INSTANCE).agg(pearson(F.col("true_rank"), F.col("pred_rank")).alias("spearman"))
+    return ranked.groupBy(INSTANCE).agg(F.expr(pearson_sql("true_rank", "pred_rank")).alias("spearman"))
 
 
 def with_predicted_place(df: DataFrame, *, max_group_rows: int | None = None) -> DataFrame:
@@ -84,7 +84,7 @@ def task_cases(
             F.min(TRUE).alias("true_best_runtime"),
             best_of(TRUE, PRED).alias("pred_selected_runtime"),
             best_of("pred_place", TRUE).alias("best_place"),
-            pearson(F.col("true_rank"), F.col("pred_rank")).alias("spearman"),
+            F.expr(pearson_sql("true_rank", "pred_rank")).alias("spearman"),
         )
         .where(F.col("bundle_count") >= 2)
     )

@@ -63,9 +63,7 @@ def _text_stat(stat: str) -> str:
 
 def _text_stats(spark: SparkSession, sf_dir: str, stat: str) -> DataFrame:
     """One statistic of the numbers in each text: from none and constants to thousands."""
-    stats = arrays.with_stats(
-        texts(spark, sf_dir).select("what", "id", "text"), {"x": arrays.extract_numbers(F.col("text"))}
-    )
+    stats = arrays.with_stats(texts(spark, sf_dir), {"x": "text"})
     chosen = stats.select("what", "id", F.col(f"x_{stat}").alias(stat))
     return rounded(chosen) if stat in ("skew", "kurtosis") else chosen
 

@@ -164,10 +164,11 @@ def stage_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stage_band", "SELECT random_seed, ordinal, scale_phase, scale_stage FROM {inst}")
 def stage_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordinal = (1 + 16 * F.col("s_nationkey")).alias("ordinal")
-    suppliers = testbed.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("random_seed"), ordinal)
+    suppliers = testbed.table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey as random_seed", "1 + 16 * s_nationkey as ordinal"
+    )
     return suppliers.select(
-        "*", B.phase_of(F.col("ordinal")).alias("scale_phase"), B.stage_of(F.col("ordinal")).alias("scale_stage")
+        "*", B.phase_of("ordinal").alias("scale_phase"), B.stage_of("ordinal").alias("scale_stage")
     )
 
 
@@ -183,8 +184,9 @@ def size_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_model_size(trials: DataFrame) -> DataFrame:
     counted = B.with_active_counts(B.with_bits(trials))
-    sizes = [F.col(c) for c in ("customer_num", "service_num", "product_num", "team_num")]
-    return counted.withColumns(B.model_size(*sizes, F.col("root_active_count")))
+    return B.with_model_size(
+        counted, "customer_num", "service_num", "product_num", "team_num", "root_active_count"
+    )
 
 
 @query("model_size", f"SELECT instance_id, valid_selection, {MODEL_SIZE} FROM {{tl}}")
@@ -254,9 +256,8 @@ def active_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM (SELECT random_seed, scale_stage, CAST(n AS INTEGER) AS bundle_no FROM {{inst}}, range(64) r(n)) g""",
 )
 def factorial_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("s_suppkey").alias("random_seed")
     instances = testbed.table(spark, sf_dir, "supplier").select(
-        s, B.stage_of(1 + 16 * F.col("s_nationkey")).alias("scale_stage")
+        F.col("s_suppkey").alias("random_seed"), B.stage_of("1 + 16 * s_nationkey").alias("scale_stage")
     )
     return B.factorial_grid(instances)
 

@@ -13,10 +13,10 @@ from trialloom.functions.arrays import with_all_stats
 from trialloom.operators import features, models, signal
 from trialloom.plans.analysis import analysis_tables
 from trialloom.plans.clean_queries import with_model_size
-from trialloom.plans.ranking_queries import complete_trials
+from trialloom.plans.ranking_queries import complete_trials, staged_trials
 from trialloom.plans.registry import query, rounded
 from trialloom.plans.sql_views import per_feature
-from trialloom.session import new_path
+from trialloom.session import new_path, staged
 from trialloom.sources import sinks, testbed
 
 ROUNDS = 10
@@ -29,9 +29,9 @@ def instance_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complete trials with bits, counts, model size and array statistics."""
+    """Complete trials with bits, counts, model size and array statistics, written once."""
     sized = with_model_size(complete_trials(spark, sf_dir))
-    return sized.join(instance_stats(spark, sf_dir), "random_seed", "left")
+    return staged(sized.join(instance_stats(spark, sf_dir), "random_seed", "left"), "model")
 
 
 # --- signal --------------------------------------------------------------------------------
@@ -133,7 +133,7 @@ def augment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "ablate_features",
-    """SELECT 'split_manual' AS scheme, CAST(8 AS BIGINT) AS removed_feature_count, count(*) AS n FROM {model}
+    """SELECT 'split_manual' AS scheme, CAST(12 AS BIGINT) AS removed_feature_count, count(*) AS n FROM {model}
        UNION ALL SELECT 'gain_manual', 0, count(*) FROM {model}""",
 )
 def ablate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,9 +181,9 @@ def write_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def write_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All analysis tables written, and their rows counted from the files."""
-    clean = complete_trials(spark, sf_dir)
+    clean = staged_trials(spark, sf_dir)
     cells = testbed.cells(spark, sf_dir).drop("customer_num", "service_num", "product_num")
-    augmented = with_model_size(clean).join(with_all_stats(cells), "random_seed", "left")
+    augmented = staged(with_model_size(clean).join(with_all_stats(cells), "random_seed", "left"), "augmented")
     tables = analysis_tables(clean, augmented, max_rows=testbed.row_bound(spark, sf_dir))
     folder = new_path(spark, "tables")
     sinks.write_tables(tables, folder)
@@ -203,9 +203,7 @@ def training_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[st
     inputs, names = features.model_inputs(
         model_table(spark, sf_dir).drop("ordinal", "bundle_no"), max_rows=testbed.row_bound(spark, sf_dir)
     )
-    path = new_path(spark, "inputs")
-    inputs.write.parquet(path)
-    return spark.read.parquet(path), names
+    return staged(inputs, "inputs"), names
 
 
 def _fit_query(name: str, learner: str) -> None:

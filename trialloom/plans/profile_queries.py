@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from trialloom.operators import clean, instances, profile, splits
-from trialloom.plans.ranking_queries import complete_trials
+from trialloom.plans.ranking_queries import complete_trials, staged_trials
 from trialloom.plans.registry import query, rounded
 from trialloom.sources import testbed
 
@@ -101,4 +101,4 @@ def range_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
        FROM {group_split} GROUP BY 1""",
 )
 def split_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.split_pivot(splits.group_holdout(complete_trials(spark, sf_dir)))
+    return splits.split_pivot(splits.group_holdout(staged_trials(spark, sf_dir)))

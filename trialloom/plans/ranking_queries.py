@@ -9,6 +9,7 @@ from trialloom.functions.bundles import EXPECTED_BUNDLES
 from trialloom.functions.ordering import rank_within
 from trialloom.operators import clean, instances, leaderboard, policies, splits, tasks
 from trialloom.plans.registry import query, rounded
+from trialloom.session import staged
 from trialloom.sources import testbed
 
 
@@ -16,6 +17,11 @@ def complete_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.keep_complete(clean.above_minimum(testbed.trials(spark, sf_dir)))
 
 
+def staged_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The complete log written once, for queries that read it several times."""
+    return staged(complete_trials(spark, sf_dir), "complete")
+
+
 @query(
     "bundle_leaderboard",
     """SELECT valid_selection, count(*) AS sample_count, round(avg(full_runtime), 8) AS avg_runtime,
@@ -293,13 +299,13 @@ def fastest_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("row_holdout", "SELECT instance_id, valid_selection, split FROM {row_split}")
 def row_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = splits.row_holdout(complete_trials(spark, sf_dir), unique=True)
+    split = splits.row_holdout(staged_trials(spark, sf_dir), unique=True)
     return split.select("instance_id", "valid_selection", "split")
 
 
 @query("group_holdout", "SELECT DISTINCT instance_id, split FROM {group_split}")
 def group_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.group_holdout(complete_trials(spark, sf_dir)).select("instance_id", "split").distinct()
+    return splits.group_holdout(staged_trials(spark, sf_dir)).select("instance_id", "split").distinct()
 
 
 @query(
@@ -311,7 +317,7 @@ def group_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
        FROM {group_split}""",
 )
 def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.split_summary(splits.group_holdout(complete_trials(spark, sf_dir)))
+    return splits.split_summary(splits.group_holdout(staged_trials(spark, sf_dir)))
 
 
 @query(
@@ -319,7 +325,7 @@ def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT split, scale_phase, scale_stage, count(*) AS row_count FROM {group_split} GROUP BY 1, 2, 3",
 )
 def split_by_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.split_by_stage(splits.group_holdout(complete_trials(spark, sf_dir)))
+    return splits.split_by_stage(splits.group_holdout(staged_trials(spark, sf_dir)))
 
 
 _PICKS = """SELECT instance_id, valid_selection FROM (
@@ -343,7 +349,7 @@ _FASTEST = """(SELECT valid_selection FROM {complete} GROUP BY 1
 
 @query("policy_fastest", f"SELECT DISTINCT instance_id, {_FASTEST} AS valid_selection FROM {{complete}}")
 def policy_fastest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policies.fastest_choice(complete_trials(spark, sf_dir))
+    return policies.fastest_choice(staged_trials(spark, sf_dir))
 
 
 def _cases(choices: str, policy: str, view: str = "complete") -> str:
@@ -383,7 +389,7 @@ def policy_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("standard_policy_cases", f"SELECT {_CASE_COLUMNS} FROM ({_ALL_CASES}) t")
 def standard_policy_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(policies.standard_cases(complete_trials(spark, sf_dir)))
+    return rounded(policies.standard_cases(staged_trials(spark, sf_dir)))
 
 
 @query(
@@ -394,7 +400,7 @@ def standard_policy_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM ({_ALL_CASES}) t GROUP BY 1""",
 )
 def policy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = policies.standard_cases(complete_trials(spark, sf_dir))
+    cases = policies.standard_cases(staged_trials(spark, sf_dir))
     return rounded(policies.policy_summary(cases, max_rows=testbed.row_bound(spark, sf_dir)))
 
 
@@ -403,7 +409,7 @@ def policy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete log, split by instance, predicted by the bundle's training mean."""
-    return tasks.bundle_mean_predictions(splits.group_holdout(complete_trials(spark, sf_dir)))
+    return tasks.bundle_mean_predictions(splits.group_holdout(staged_trials(spark, sf_dir)))
 
 
 def held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -499,9 +505,8 @@ def regression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def sweep_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = complete_trials(spark, sf_dir)
+    log = staged_trials(spark, sf_dir)
     rows = tasks.bundle_mean_predictions(splits.row_holdout(log, unique=True))
-    scored = rows.withColumn("scheme", F.lit("random")).unionByName(
-        predictions(spark, sf_dir).withColumn("scheme", F.lit("group"))
-    )
+    groups = tasks.bundle_mean_predictions(splits.group_holdout(log))
+    scored = rows.withColumn("scheme", F.lit("random")).unionByName(groups.withColumn("scheme", F.lit("group")))
     return rounded(tasks.sweep_summary(scored.withColumn("model", F.lit("bundle_mean"))))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialloom.plans.sql_views import with_views
@@ -32,5 +31,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
     """Round doubles, since the last digits of a sum depend on the order of its rows."""
-    doubles = {f.name: F.round(F.col(f.name), digits) for f in df.schema.fields if f.dataType == T.DoubleType()}
-    return df.withColumns(doubles) if doubles else df
+    columns = [
+        f"round(`{f.name}`, {digits}) as `{f.name}`" if f.dataType == T.DoubleType() else f"`{f.name}`"
+        for f in df.schema.fields
+    ]
+    return df.selectExpr(*columns)

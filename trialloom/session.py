@@ -52,3 +52,14 @@ def settle(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` reliably, so later steps all see the same rows."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back.
+
+    For a table that several later steps read: each then scans only the columns it needs,
+    and no lost executor can make it be derived again.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -42,26 +42,22 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .agg((F.min("l_extendedprice") / 1999.0).alias("full_runtime"))
     )
-    s = F.col("s_suppkey")
-    ordinal = 1 + 16 * F.col("s_nationkey")
-    instances = table(spark, sf_dir, "supplier").select(
-        s.alias("random_seed"),
-        ordinal.alias("ordinal"),
-        B.phase_of(ordinal).alias("scale_phase"),
-        B.stage_of(ordinal).alias("scale_stage"),
-        (5 + s % 14).cast("int").alias("customer_num"),
-        (3 + s % 8).cast("int").alias("service_num"),
-        (3 + s % 8).cast("int").alias("product_num"),
-        (3 + s % 10).cast("int").alias("team_num"),
+    instances = table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey as random_seed",
+        "1 + 16 * s_nationkey as ordinal",
+        "cast(5 + s_suppkey % 14 as int) as customer_num",
+        "cast(3 + s_suppkey % 8 as int) as service_num",
+        "cast(3 + s_suppkey % 8 as int) as product_num",
+        "cast(3 + s_suppkey % 10 as int) as team_num",
     )
-    instances = instances.withColumn(
-        "size_signature",
-        B.size_signature(*[F.col(c) for c in ("customer_num", "service_num", "product_num", "team_num")]),
+    described = instances.select(
+        "*",
+        B.phase_of("ordinal").alias("scale_phase"),
+        B.stage_of("ordinal").alias("scale_stage"),
+        B.size_signature("customer_num", "service_num", "product_num", "team_num").alias("size_signature"),
     )
-    return cells.join(instances, "random_seed").select(
-        F.concat_ws(
-            "|", "scale_phase", "scale_stage", "size_signature", F.col("random_seed").cast("string")
-        ).alias("instance_id"),
+    return cells.join(described, "random_seed").select(
+        F.expr("concat_ws('|', scale_phase, scale_stage, size_signature, random_seed)").alias("instance_id"),
         "scale_phase",
         "scale_stage",
         "size_signature",
@@ -72,7 +68,7 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
         "product_num",
         "team_num",
         "bundle_no",
-        B.bundle_text(F.col("bundle_no")).alias("valid_selection"),
+        B.bundle_text("bundle_no").alias("valid_selection"),
         "full_runtime",
     )
 
@@ -96,42 +92,28 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     Every 7th instance appears twice; every 11th gains rows with a blank or wordy
     measure; ``note`` holds a matrix cell with a line break.
     """
-    tl = trials(spark, sf_dir)
-    milli = F.floor(F.col("full_runtime") * 1000).cast("long")
-    seconds = F.format_string("%d.%03d", F.floor(milli / 1000).cast("long"), milli % 1000)
-    spoiled = F.when(F.col("bundle_no") % 2 == 0, F.lit("")).otherwise(F.lit("abc"))
-    measures = F.concat(
-        F.array_repeat(seconds, F.when(F.col("random_seed") % 7 == 0, 2).otherwise(1)),
-        F.array_repeat(spoiled, F.when(F.col("random_seed") % 11 == 0, 1).otherwise(0)),
+    milli = "cast(floor(full_runtime * 1000) as bigint)"
+    seconds = f"format_string('%d.%03d', {milli} div 1000, {milli} % 1000)"
+    measures = (
+        f"explode(concat(array_repeat({seconds}, if(random_seed % 7 = 0, 2, 1)), "
+        "array_repeat(if(bundle_no % 2 = 0, '', 'abc'), if(random_seed % 11 = 0, 1, 0))))"
     )
-    note = F.format_string(
-        "[[%d %d]\n [%d %d]]",
-        F.col("customer_num"),
-        F.col("service_num"),
-        F.col("team_num"),
-        F.col("bundle_no"),
+    note = "format_string('[[%d %d]\\n [%d %d]]', customer_num, service_num, team_num, bundle_no)"
+    made = {"full_runtime": measures, "note": note}
+    rows = trials(spark, sf_dir).selectExpr(
+        *[f"{made.get(c, f'cast({c} as string)')} as {c}" for c in RAW_COLUMNS]
     )
-    texts = {
-        c: F.col(c).cast("string") for c in RAW_COLUMNS if c not in ("full_runtime", "note")
-    }
-    rows = tl.select(
-        *[e.alias(c) for c, e in texts.items()], note.alias("note"), F.explode(measures).alias("full_runtime")
-    ).select(*RAW_COLUMNS)
-    header = spark.range(1).select(*[F.lit(c).alias(c) for c in RAW_COLUMNS])
+    header = spark.range(1).selectExpr(*[f"'{c}' as {c}" for c in RAW_COLUMNS])
     return rows.unionByName(header)
 
 
-def _joined(values: Column, start: int, length: int) -> Column:
-    return F.array_join(F.slice(values, start, length).cast("array<string>"), " ")
-
+def _vector_cell(start: int, length: int) -> str:
+    return f"concat('[', array_join(slice(v, {start}, {length}), ' '), ']')"
 
-def _vector_cell(values: Column, start: int, length: int) -> Column:
-    return F.concat(F.lit("["), _joined(values, start, length), F.lit("]"))
 
-
-def _matrix_cell(values: Column, rows: int, columns: int) -> Column:
-    lines = [_vector_cell(values, r * columns + 1, columns) for r in range(rows)]
-    return F.concat(F.lit("["), F.concat_ws("\n ", *lines), F.lit("]"))
+def _matrix_cell(rows: int, columns: int) -> str:
+    lines = ", ".join(_vector_cell(r * columns + 1, columns) for r in range(rows))
+    return f"concat('[', concat_ws('\\n ', {lines}), ']')"
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,27 +122,29 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     Each row stands for an instance of six customers and eight services; every tenth
     claims five customers, so that the length rules find mismatches.
     """
-    v = F.transform("embedding", lambda e: F.floor(e.cast("double") * 1000).cast("int"))
-    base = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("random_seed"), v.alias("v"))
-    v = F.col("v")
-    profit = F.zip_with(F.slice(v, 9, 8), F.slice(v, 17, 8), lambda price, cost: price - cost)
-    return base.select(
-        "random_seed",
-        F.when(F.col("random_seed") % 10 == 0, 5).otherwise(6).alias("customer_num"),
-        F.lit(8).alias("service_num"),
-        F.lit(8).alias("product_num"),
-        _vector_cell(v, 1, 8).alias("service_time"),
-        _vector_cell(v, 9, 8).alias("service_price"),
-        _vector_cell(v, 17, 8).alias("service_cost"),
-        F.concat(F.lit("["), F.array_join(profit.cast("array<string>"), " "), F.lit("]")).alias("profit"),
-        _vector_cell(v, 25, 8).alias("inventory"),
-        _vector_cell(v, 33, 6).alias("weight"),
-        _vector_cell(v, 39, 6).alias("early_start"),
-        _vector_cell(v, 45, 6).alias("late_start"),
-        _matrix_cell(v, 6, 8).alias("utility"),
-        _matrix_cell(v, 8, 8).alias("Ser_Pro_corr"),
-        _matrix_cell(v, 8, 8).alias("transfer_matrix"),
-        _matrix_cell(v, 8, 8).alias("VariableCost"),
+    printed = "transform(embedding, e -> cast(cast(floor(cast(e as double) * 1000) as int) as string))"
+    gains = "transform(sequence(8, 15), p -> cast(int(v[p]) - int(v[p + 8]) as string))"
+    return (
+        table(spark, sf_dir, "embeddings")
+        .selectExpr("vec_id as random_seed", f"{printed} as v")
+        .selectExpr(
+            "random_seed",
+            "if(random_seed % 10 = 0, 5, 6) as customer_num",
+            "8 as service_num",
+            "8 as product_num",
+            f"{_vector_cell(1, 8)} as service_time",
+            f"{_vector_cell(9, 8)} as service_price",
+            f"{_vector_cell(17, 8)} as service_cost",
+            f"concat('[', array_join({gains}, ' '), ']') as profit",
+            f"{_vector_cell(25, 8)} as inventory",
+            f"{_vector_cell(33, 6)} as weight",
+            f"{_vector_cell(39, 6)} as early_start",
+            f"{_vector_cell(45, 6)} as late_start",
+            f"{_matrix_cell(6, 8)} as utility",
+            f"{_matrix_cell(8, 8)} as Ser_Pro_corr",
+            f"{_matrix_cell(8, 8)} as transfer_matrix",
+            f"{_matrix_cell(8, 8)} as VariableCost",
+        )
     )
 
 
