@@ -11,6 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -64,24 +65,18 @@ class FourierFeatures(Transformer):
     def __init__(self, width: int, count: int = KERNEL_FEATURES, seed: int = 0):
         super().__init__()
         rng = np.random.default_rng(seed)
-        self.weights = rng.normal(scale=np.sqrt(2.0 / max(width, 1)), size=(count, width))
+        self.weights = rng.normal(scale=np.sqrt(2.0 / max(width, 1)), size=(width, count))
         self.shifts = rng.uniform(0.0, 2.0 * np.pi, size=count)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        x = vector_to_array("scaled")
-        waves = F.array(
-            *[
-                F.cos(
-                    F.aggregate(
-                        F.zip_with(x, F.array(*[F.lit(float(w)) for w in row]), lambda a, b: a * b),
-                        F.lit(float(shift)),
-                        lambda acc, v: acc + v,
-                    )
-                )
-                for row, shift in zip(self.weights, self.shifts)
-            ]
-        )
-        return dataset.withColumn("waves", array_to_vector(waves))
+        weights, shifts = self.weights, self.shifts
+
+        @F.pandas_udf("array<double>")
+        def waves(x: pd.Series) -> pd.Series:
+            # One matrix product per Arrow batch.
+            return pd.Series(list(np.cos(np.stack(x.to_numpy()) @ weights + shifts)))
+
+        return dataset.withColumn("waves", array_to_vector(waves(vector_to_array("scaled"))))
 
 
 def _kernel(width: int) -> list[Estimator]:
