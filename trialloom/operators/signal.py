@@ -27,21 +27,34 @@ def _scalar_columns(df: DataFrame) -> list[str]:
     return [c for c, kind in df.dtypes if kind == "string" or kind in NUMERIC_TYPES]
 
 
+def _long(df: DataFrame, names: Sequence[str], *keep: str) -> DataFrame:
+    """One row per feature value (feature, x), nulls included, beside the ``keep`` columns.
+
+    The rows multiply only between the scan and the partial aggregation of the same task;
+    a shuffle sees one row per feature and task. One narrow aggregate also compiles to
+    tight code, where one wide aggregate over all features does not.
+    """
+    return df.unpivot(list(keep), list(names), "feature", "x")
+
+
 def candidate_features(df: DataFrame) -> list[str]:
     """Columns of which at least 95 % parse as numbers and that hold more than one value.
 
-    One aggregation over all columns; a differing minimum and maximum stands for a second
-    value, so nothing needs a distinct count.
+    A minimum below the maximum stands for a second value, so nothing is counted distinct.
     """
     names = [c for c in _scalar_columns(df) if c not in NOT_FEATURES]
-    numbers = numeric_features(df, names)
-    facts = numbers.agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.count(f"`{c}`").alias(f"_n_{c}") for c in names],
-        *[F.expr(f"min(`{c}`) < max(`{c}`)").alias(f"_varies_{c}") for c in names],
-    ).first()
-    rows = facts["_rows"]
-    return [c for c in names if rows and facts[f"_n_{c}"] / rows >= MIN_VALID and facts[f"_varies_{c}"]]
+    facts = (
+        _long(numeric_features(df, names), names)
+        .groupBy("feature")
+        .agg(
+            (F.count("x") / F.count(F.lit(1))).alias("valid"),
+            (F.min("x") < F.max("x")).alias("varies"),
+        )
+        .where((F.col("valid") >= MIN_VALID) & F.col("varies"))
+    )
+    # One row per column of the table.
+    found = {row["feature"] for row in facts.select("feature").collect()}
+    return [c for c in names if c in found]
 
 
 def candidate_table(df: DataFrame) -> DataFrame:
@@ -57,43 +70,29 @@ def numeric_features(df: DataFrame, names: Sequence[str], *keep: str) -> DataFra
     return df.selectExpr(*keep, *[f"{_number(types, c)} as `{c}`" for c in names])
 
 
-def _long(one_row: DataFrame, names: Sequence[str], fields: dict[str, str]) -> DataFrame:
-    """Turn ``<prefix><feature>`` columns of a one-row table into one row per feature."""
-    entries = ", ".join(
-        f"named_struct('feature', '{c}', "
-        + ", ".join(f"'{out}', `{prefix}{c}`" for out, prefix in fields.items())
-        + ")"
-        for c in names
-    )
-    return one_row.selectExpr(f"explode(array({entries})) as e").select("e.*")
-
-
 def feature_summary(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """Valid share, distinct values, mean and population std per feature."""
     names = candidate_features(df) if names is None else list(names)
-    numbers = numeric_features(df, names)
-    moments = numbers.agg(
-        *[F.expr(f"count(`{c}`) / count(1)").alias(f"v_{c}") for c in names],
-        *[F.expr(f"avg(`{c}`)").alias(f"m_{c}") for c in names],
-        *[F.expr(f"stddev_pop(`{c}`)").alias(f"s_{c}") for c in names],
+    values = _long(numeric_features(df, names), names)
+    moments = values.groupBy("feature").agg(
+        (F.count("x") / F.count(F.lit(1))).alias("valid_ratio"),
+        F.avg("x").alias("mean"),
+        F.stddev_pop("x").alias("std"),
     )
-    table = _long(moments, names, {"valid_ratio": "v_", "mean": "m_", "std": "s_"})
     # Repeated values collapse on the map side, so the shuffle carries distinct values only.
     distinct = (
-        numbers.unpivot([], list(names), "feature", "x")
-        .where(F.col("x").isNotNull())
+        values.where(F.col("x").isNotNull())
         .groupBy("feature", "x")
         .agg(F.lit(1).alias("one"))
         .groupBy("feature")
         .agg(F.count(F.lit(1)).alias("nunique"))
     )
-    return table.join(distinct, "feature").orderBy(F.col("valid_ratio").desc(), "feature")
+    return moments.join(distinct, "feature").orderBy(F.col("valid_ratio").desc(), "feature")
 
 
 def _signal(df: DataFrame, names: Sequence[str], against: str, label: str) -> DataFrame:
-    """Correlation of all features with one column, from a single aggregation."""
-    numbers = df.agg(*[F.expr(pearson_sql(f"`{c}`", against)).alias(f"r_{c}") for c in names])
-    table = _long(numbers, names, {label: "r_"})
+    """Correlation of every feature with one column, where both are present."""
+    table = _long(df, names, against).groupBy("feature").agg(F.expr(pearson_sql("x", against)).alias(label))
     return table.withColumn(f"abs_{label}", F.abs(label)).orderBy(
         F.col(f"abs_{label}").desc_nulls_last(), "feature"
     )

@@ -2,25 +2,67 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trialloom.operators import solution
 from trialloom.plans.registry import query, rounded
+from trialloom.session import staged
 from trialloom.sources import testbed
 from trialloom.sources.testbed import END_DEPOT, START_DEPOT
 
 
-@dataclass
 class Decisions:
-    """The decision tables of one scale, built on first use."""
+    """The decision tables of one scale, each made on first use.
 
-    spark: SparkSession
-    sf_dir: str
+    Nodes, arcs and starts are written once, as stored decisions would be; a real audit
+    reads its tables from storage.
+    """
 
-    def __getattr__(self, name: str) -> DataFrame:
-        return getattr(testbed, name)(self.spark, self.sf_dir)
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return staged(testbed.nodes(self.spark, self.sf_dir), "nodes")
+
+    @cached_property
+    def services(self) -> DataFrame:
+        return testbed.services(self.spark, self.sf_dir)
+
+    @cached_property
+    def usage(self) -> DataFrame:
+        return testbed.usage(self.spark, self.sf_dir)
+
+    @cached_property
+    def inventory(self) -> DataFrame:
+        return testbed.inventory(self.spark, self.sf_dir)
+
+    @cached_property
+    def arcs(self) -> DataFrame:
+        return staged(testbed.arcs(self.nodes), "arcs")
+
+    @cached_property
+    def starts(self) -> DataFrame:
+        return staged(testbed.starts(self.nodes, self.services), "starts")
+
+    @cached_property
+    def assignments(self) -> DataFrame:
+        return testbed.assignments(self.nodes)
+
+    @cached_property
+    def visits(self) -> DataFrame:
+        return testbed.visits(self.nodes)
+
+    @cached_property
+    def teams(self) -> DataFrame:
+        return testbed.teams(self.nodes)
+
+    @cached_property
+    def arc_pairs(self) -> DataFrame:
+        return testbed.arc_pairs(self.arcs)
 
 
 @query("score_value", "SELECT s, round(x, 6) AS value_score FROM {value_part}")
@@ -192,7 +234,5 @@ def audit_late_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
          WHERE gap <= 0.15::DOUBLE) t WHERE place = 1""",
 )
 def first_crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     crossed = solution.first_crossing(testbed.progress(spark, sf_dir))
     return crossed.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))

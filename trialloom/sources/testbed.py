@@ -217,17 +217,16 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage(spark, sf_dir).select("p").distinct().select("p", (2 + F.col("p") % 4).alias("cap"))
 
 
-def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def assignments(node: DataFrame) -> DataFrame:
     """SOL assign: the chosen service per customer; every tenth instance serves node 0 twice."""
     copies = F.when((F.col("s") % 10 == 0) & (F.col("i") == 0), 2).otherwise(1)
     return (
-        nodes(spark, sf_dir)
-        .select("s", "i", "m", "weight", "utility", F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
+        node.select("s", "i", "m", "weight", "utility", F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
         .drop("copy")
     )
 
 
-def arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def arcs(node: DataFrame) -> DataFrame:
     """SOL arc: each team's route through its customers by (start, node), depots at the ends.
 
     A team has at most seven customers, since nodes are unique per line number. Every
@@ -235,8 +234,7 @@ def arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     route = Window.partitionBy("s", "k").orderBy("start", "i")
     step = (
-        nodes(spark, sf_dir)
-        .select(
+        node.select(
             "s",
             "k",
             "i",
@@ -262,10 +260,9 @@ def arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def starts(node: DataFrame, service: DataFrame) -> DataFrame:
     """SOL start: T(i, k) for the customers and both depots of every used team."""
-    node = nodes(spark, sf_dir)
-    timed = node.join(services(spark, sf_dir), "m").select("s", "k", "i", "start", "time")
+    timed = node.join(service, "m").select("s", "k", "i", "start", "time")
     depots = timed.groupBy("s", "k").agg((1 + F.max(F.col("start") + F.col("time"))).alias("end")).select(
         "s",
         "k",
@@ -279,15 +276,15 @@ def starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return node.select("s", "k", "i", "start").unionByName(depots.select("s", "k", "d.i", "d.start"))
 
 
-def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def visits(node: DataFrame) -> DataFrame:
     """SOL visit: Y(i, k)."""
-    return nodes(spark, sf_dir).select("s", "i", "k")
+    return node.select("s", "i", "k")
 
 
-def teams(spark: SparkSession, sf_dir: str) -> DataFrame:
+def teams(node: DataFrame) -> DataFrame:
     """SOL team: teams of each instance; the last one is always idle."""
-    used = nodes(spark, sf_dir).groupBy("s", "k").agg(F.lit(1).alias("used"))
-    every = nodes(spark, sf_dir).select("s").distinct().select(
+    used = node.groupBy("s", "k").agg(F.lit(1).alias("used"))
+    every = node.select("s").distinct().select(
         "s", F.explode(F.sequence(F.lit(0), F.lit(TEAMS - 1))).alias("k")
     )
     return every.join(used, ["s", "k"], "left").select(
@@ -301,11 +298,10 @@ def transfer(i: Column, j: Column) -> Column:
     return F.when(i == j, 0).when(depot, 1).otherwise(F.abs(i - j) % 3 + 1)
 
 
-def arc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def arc_pairs(arc: DataFrame) -> DataFrame:
     """SOL pair: travel time and cost of the pairs the routes use."""
     return (
-        arcs(spark, sf_dir)
-        .select("s", "i", "j")
+        arc.select("s", "i", "j")
         .distinct()
         .withColumn("transfer", transfer(F.col("i"), F.col("j")))
         .withColumn("cost", F.col("transfer") * 1.5)
