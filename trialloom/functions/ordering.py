@@ -19,7 +19,7 @@ from trialloom.session import settle
 IN_TASK_ROWS = 2_000_000
 """Rows that one task may sort or hold for a single group."""
 
-_ALL = "_all"
+_GROUP = "_group"
 _PART = "_part"
 _ROWS = "_rows"
 
@@ -28,32 +28,37 @@ def fits_in_task(max_group_rows: int | None) -> bool:
     return max_group_rows is not None and max_group_rows <= IN_TASK_ROWS
 
 
+def _grouped(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the group as one struct, in which null keys are equal; no keys are one group."""
+    return df.withColumn(_GROUP, F.struct(*keys) if keys else F.lit(0))
+
+
 def _sort_keys(value: str, ties: Sequence[str], ascending: bool) -> list[Column]:
     first = F.col(value).asc_nulls_last() if ascending else F.col(value).desc_nulls_last()
     return [first, *[F.col(t).asc_nulls_last() for t in ties]]
 
 
 def _ordered_parts(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], names: Sequence[str], rows: Column
+    df: DataFrame, order: Sequence[Column], names: Sequence[str], rows: Column
 ) -> DataFrame:
-    """One row per distinct (keys, names), range-partitioned and settled with its partition."""
+    """One row per distinct (group, names), range-partitioned and settled with its partition."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = df.groupBy(*keys, *names).agg(rows.alias(_ROWS))
-    placed = counted.repartitionByRange(partitions, *[F.col(k) for k in keys], *order)
+    counted = df.groupBy(_GROUP, *names).agg(rows.alias(_ROWS))
+    placed = counted.repartitionByRange(partitions, F.col(_GROUP), *order)
     # The partition number must not change between its two uses, hence the checkpoint.
     return settle(placed.withColumn(_PART, F.spark_partition_id()))
 
 
-def _part_starts(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows and distinct values that precede each (keys, partition) in its group."""
-    sizes = parts.groupBy(*keys, _PART).agg(
+def _part_starts(parts: DataFrame) -> DataFrame:
+    """Rows and distinct values that precede each (group, partition) in its group."""
+    sizes = parts.groupBy(_GROUP, _PART).agg(
         F.sum(_ROWS).alias("_part_rows"), F.count(F.lit(1)).alias("_part_values")
     )
     # At most one row per partition and group reaches these windows.
-    before = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
+    before = Window.partitionBy(_GROUP).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(_GROUP)
     return sizes.select(
-        *keys,
+        _GROUP,
         _PART,
         "_part_rows",
         F.coalesce(F.sum("_part_rows").over(before), F.lit(0)).alias("_start_rows"),
@@ -93,17 +98,16 @@ def rank_within(
         return df.withColumn(name, F.when(F.col(value).isNotNull(), rank))
 
     names = [value, *ties]
-    group = keys or [_ALL]
-    source = df if keys else df.withColumn(_ALL, F.lit(0))
+    source = _grouped(df, keys)
     parts = _ordered_parts(
-        source.where(F.col(value).isNotNull()), group, order, names, F.count(F.lit(1))
+        source.where(F.col(value).isNotNull()), order, names, F.count(F.lit(1))
     )
     local = (
-        Window.partitionBy(*group, _PART)
+        Window.partitionBy(_GROUP, _PART)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    located = parts.join(_part_starts(parts, group), [*group, _PART])
+    located = parts.join(_part_starts(parts), [_GROUP, _PART])
     rows_before = F.col("_start_rows") + F.coalesce(F.sum(_ROWS).over(local), F.lit(0))
     values_before = F.col("_start_values") + F.count(F.lit(1)).over(local)
     rank = {
@@ -112,8 +116,9 @@ def rank_within(
         "dense": values_before + 1,
         "average": rows_before + 1 + (F.col(_ROWS) - 1) / 2.0,
     }[method]
-    ranks = located.select(*group, *names, rank.alias(name))
-    return source.join(ranks, [*group, *names], "left").select(*df.columns, name)
+    place = F.struct(_GROUP, *names).alias("_place")
+    ranks = located.select(place, rank.alias(name))
+    return source.withColumn("_place", place).join(ranks, "_place", "left").select(*df.columns, name)
 
 
 def running_total(
@@ -123,10 +128,9 @@ def running_total(
     if fits_in_task(max_rows):
         before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(name, F.coalesce(F.sum(amount).over(before), F.lit(0)))
-    keyed = df.withColumn(_ALL, F.lit(0))
-    parts = _ordered_parts(keyed, [_ALL], [F.col(order).asc()], [order], F.sum(amount))
+    parts = _ordered_parts(_grouped(df, []), [F.col(order).asc()], [order], F.sum(amount))
     local = Window.partitionBy(_PART).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = parts.join(_part_starts(parts, [_ALL]), [_ALL, _PART]).select(
+    totals = parts.join(_part_starts(parts), [_GROUP, _PART]).select(
         order,
         (F.col("_start_rows") + F.coalesce(F.sum(_ROWS).over(local), F.lit(0))).alias(name),
     )
@@ -134,13 +138,13 @@ def running_total(
 
 
 def _picked_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]
+    df: DataFrame, value: str, probs: Mapping[str, float]
 ) -> DataFrame:
     """Exact quantiles of ``value`` per group, read off the range-partitioned values."""
     parts = _ordered_parts(
-        df.where(F.col(value).isNotNull()), keys, [F.col(value).asc()], [value], F.count(F.lit(1))
+        df.where(F.col(value).isNotNull()), [F.col(value).asc()], [value], F.count(F.lit(1))
     )
-    starts = _part_starts(parts, keys)
+    starts = _part_starts(parts)
     spot = {name: F.lit(float(p)) * (F.col("_group_rows") - 1) for name, p in probs.items()}
     wanted = F.array(
         *[
@@ -160,15 +164,15 @@ def _picked_quantiles(
             (F.col("_want.at") >= F.col("_start_rows"))
             & (F.col("_want.at") < F.col("_start_rows") + F.col("_part_rows"))
         )
-        .select(*keys, _PART, "_want", (F.col("_want.at") - F.col("_start_rows")).alias("_offset"))
+        .select(_GROUP, _PART, "_want", (F.col("_want.at") - F.col("_start_rows")).alias("_offset"))
     )
-    local = Window.partitionBy(*keys, _PART).orderBy(value)
+    local = Window.partitionBy(_GROUP, _PART).orderBy(value)
     upto = F.sum(_ROWS).over(local.rowsBetween(Window.unboundedPreceding, 0))
     # Only the partitions that hold a wanted position are sorted.
     hits = (
-        parts.join(targets.select(*keys, _PART).distinct(), [*keys, _PART], "left_semi")
+        parts.join(targets.select(_GROUP, _PART).distinct(), [_GROUP, _PART], "left_semi")
         .withColumn("_upto", upto)
-        .join(targets, [*keys, _PART])
+        .join(targets, [_GROUP, _PART])
         .where((F.col("_offset") < F.col("_upto")) & (F.col("_offset") >= F.col("_upto") - F.col(_ROWS)))
     )
 
@@ -176,7 +180,7 @@ def _picked_quantiles(
         chosen = (F.col("_want.name") == name) & (F.col("_want.side") == side)
         return F.max(F.when(chosen, F.col(what)))
 
-    return hits.groupBy(*keys).agg(
+    return hits.groupBy(_GROUP).agg(
         *[
             (
                 at(name, "low", value)
@@ -208,14 +212,8 @@ def summarise(
         ]
         return df.groupBy(*keys).agg(*aggs, *exact)
 
-    base = df.groupBy(*keys).agg(*aggs)
-    group = keys or [_ALL]
-    source = df if keys else df.withColumn(_ALL, F.lit(0))
-    result = base if keys else base.withColumn(_ALL, F.lit(0))
-    # Null keys count as a group of their own, so the join must match them.
+    result = _grouped(df.groupBy(*keys).agg(*aggs), keys)
+    source = _grouped(df, keys)
     for value, probs in quantiles.items():
-        picked = _picked_quantiles(source, group, value, probs)
-        picked = picked.select(*[F.col(k).alias(f"_q_{k}") for k in group], *probs)
-        same = [F.col(k).eqNullSafe(F.col(f"_q_{k}")) for k in group]
-        result = result.join(picked, same, "left").drop(*[f"_q_{k}" for k in group])
-    return result if keys else result.drop(_ALL)
+        result = result.join(_picked_quantiles(source, value, probs), _GROUP, "left")
+    return result.drop(_GROUP)

@@ -12,6 +12,7 @@ from trialloom.plans.registry import query, rounded
 from trialloom.plans.sql_views import BUNDLE_TEXT, MODEL_SIZE
 from trialloom.session import new_path
 from trialloom.sources import sinks, testbed, trial_log
+from trialloom.streaming import append
 
 RAW_LIST = ", ".join(testbed.RAW_COLUMNS)
 LOG = "instance_id, valid_selection, random_seed, round(full_runtime, 8) AS full_runtime"
@@ -289,3 +290,18 @@ def overwrite_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     sinks.overwrite_run(clean.above_minimum(log), path, "2026-01-02")
     back = spark.read.option("basePath", path).parquet(path)
     return rounded(back.withColumn("run_date", F.col("run_date").cast("string")))
+
+
+@query(
+    "append_stream",
+    """SELECT scale_phase || '|' || scale_stage || '|' || size_signature || '|' || random_seed AS instance_id,
+              valid_selection, CAST(full_runtime AS DOUBLE) AS full_runtime, note
+       FROM {headless} WHERE try_cast(full_runtime AS DOUBLE) > 0.5""",
+)
+def append_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw log as arriving files, cleaned by row and appended by a stream."""
+    landing, out = new_path(spark, "landing"), new_path(spark, "stream")
+    sinks.write_csv(testbed.raw_log(spark, sf_dir), landing)
+    rows = append.arriving_trials(spark, landing, testbed.RAW_COLUMNS)
+    append.append_stream(rows, out, new_path(spark, "stream-state")).awaitTermination()
+    return spark.read.parquet(out).select("instance_id", "valid_selection", "full_runtime", "note")
