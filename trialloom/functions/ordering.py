@@ -116,9 +116,9 @@ def rank_within(
         "dense": values_before + 1,
         "average": rows_before + 1 + (F.col(_ROWS) - 1) / 2.0,
     }[method]
-    place = F.struct(_GROUP, *names).alias("_place")
-    ranks = located.select(place, rank.alias(name))
-    return source.withColumn("_place", place).join(ranks, "_place", "left").select(*df.columns, name)
+    slot = F.struct(_GROUP, *names)
+    ranks = located.select(slot.alias("_slot"), rank.alias(name))
+    return source.withColumn("_slot", slot).join(ranks, "_slot", "left").select(*df.columns, name)
 
 
 def running_total(

@@ -25,7 +25,7 @@ from trialloom.operators.clean import BUNDLE, INSTANCE
 from trialloom.operators.features import LABEL, removed_features
 from trialloom.operators.splits import SEED, TEST_SIZE, with_split
 from trialloom.operators.tasks import PRED, TRUE, sweep_summary, task_cases, task_summary
-from trialloom.session import new_path, shared_dir
+from trialloom.session import new_path, shared_dir, staged
 
 # Tree count and, per learner, the rate, depth and seeds of the registry.
 ROUNDS = 200
@@ -108,30 +108,54 @@ def usable_features(df: DataFrame, features: Sequence[str]) -> list[str]:
     return [c for c in features if counts[c]]
 
 
-def fit(train: DataFrame, features: Sequence[str], stages: Callable[[int], list[Estimator]]) -> PipelineModel:
-    """Median imputation, assembly and the learner, fitted on the training side only."""
-    shared_dir(train.sparkSession)
-    features = usable_features(train, features)
-    filled = [f"_filled_{c}" for c in features]
-    pipeline = Pipeline(
+SCHEMES = {"random": (f"meta_{INSTANCE}", f"meta_{BUNDLE}"), "group": (f"meta_{INSTANCE}",)}
+
+
+@dataclass
+class Prepared:
+    """Rows of one holdout with their assembled features, written once for all learners."""
+
+    rows: DataFrame
+    features: list[str]
+
+
+def prepare(
+    inputs: DataFrame,
+    features: Sequence[str],
+    scheme: str,
+    *,
+    test_size: float = TEST_SIZE,
+    seed: int = SEED,
+) -> Prepared:
+    """Split by a scheme, then fill gaps with the training side's medians and assemble."""
+    split = with_split(inputs, SCHEMES[scheme], test_size=test_size, seed=seed)
+    train = split.where(F.col("split") == "train")
+    usable = usable_features(train, features)
+    filled = [f"_filled_{c}" for c in usable]
+    assembly = Pipeline(
         stages=[
-            Imputer(strategy="median", inputCols=features, outputCols=filled),
+            Imputer(strategy="median", inputCols=usable, outputCols=filled),
             VectorAssembler(inputCols=filled, outputCol="features"),
-            *stages(len(features)),
         ]
-    )
-    return pipeline.fit(train)
+    ).fit(train)
+    meta = [c for c in split.columns if c.startswith("meta_")]
+    rows = assembly.transform(split).select(*meta, LABEL, "split", "features")
+    return Prepared(staged(rows, "prepared"), usable)
 
 
-def score(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Keys, split, true and predicted measure; keys ride along with the rows."""
-    meta = [c for c in df.columns if c.startswith("meta_")]
-    return model.transform(df).select(
-        *[F.col(c).alias(c.removeprefix("meta_")) for c in meta], "split", F.col(LABEL).alias(TRUE), PRED
-    )
+def fit(prepared: Prepared, stages: Callable[[int], list[Estimator]]) -> PipelineModel:
+    """Fit a learner on the training side only."""
+    shared_dir(prepared.rows.sparkSession)
+    train = prepared.rows.where(F.col("split") == "train")
+    return Pipeline(stages=stages(len(prepared.features))).fit(train)
 
 
-SCHEMES = {"random": (f"meta_{INSTANCE}", f"meta_{BUNDLE}"), "group": (f"meta_{INSTANCE}",)}
+def score(model: PipelineModel, prepared: Prepared) -> DataFrame:
+    """Keys, split, true and predicted measure of both sides; keys ride along with the rows."""
+    meta = [c for c in prepared.rows.columns if c.startswith("meta_")]
+    return model.transform(prepared.rows).select(
+        *[F.col(c).alias(c.removeprefix("meta_")) for c in meta], "split", F.col(LABEL).alias(TRUE), PRED
+    )
 
 
 def holdout(
@@ -142,11 +166,11 @@ def holdout(
     *,
     test_size: float = TEST_SIZE,
     seed: int = SEED,
-) -> tuple[PipelineModel, DataFrame]:
-    """Fit on the training side of a scheme and score both sides."""
-    split = with_split(inputs, SCHEMES[scheme], test_size=test_size, seed=seed)
-    model = fit(split.where(F.col("split") == "train"), features, stages)
-    return model, score(model, split)
+) -> tuple[PipelineModel, Prepared, DataFrame]:
+    """One learner under one holdout: the model, its data and its scores."""
+    prepared = prepare(inputs, features, scheme, test_size=test_size, seed=seed)
+    model = fit(prepared, stages)
+    return model, prepared, score(model, prepared)
 
 
 @dataclass
@@ -198,8 +222,9 @@ def model_sweep(
 ) -> Sweep:
     """Every learner under both holdouts; one that fails is noted and the sweep goes on.
 
-    Only names are looped over; each fit and each score is a distributed job. Scores are
-    written to the shared folder, so that later tables do not score again.
+    Only names are looped over; each fit and each score is a distributed job. Learners
+    share the prepared rows of a holdout, and scores are written to the shared folder, so
+    that later tables do not score again.
     """
     variants = {
         name: (features, stages, name in importance_of) for name, stages in (registry or model_registry()).items()
@@ -210,16 +235,20 @@ def model_sweep(
 def _sweep(inputs, variants, test_size, seed, max_group_rows, max_rows) -> Sweep:
     spark = inputs.sparkSession
     scored, importances, failures = [], [], {}
+    ready: dict[tuple, Prepared] = {}
     for name, (features, stages, wants_importance) in variants.items():
         try:
             tables = []
             for scheme in SCHEMES:
-                model, rows = holdout(inputs, features, stages, scheme, test_size=test_size, seed=seed)
-                path = new_path(spark, "scores")
-                rows.withColumns({"model": F.lit(name), "scheme": F.lit(scheme)}).write.parquet(path)
-                tables.append(spark.read.parquet(path))
+                key = (scheme, *features)
+                if key not in ready:
+                    ready[key] = prepare(inputs, features, scheme, test_size=test_size, seed=seed)
+                model = fit(ready[key], stages)
+                rows = score(model, ready[key]).withColumns({"model": F.lit(name), "scheme": F.lit(scheme)})
+                tables.append(staged(rows, "scores"))
                 if scheme == "group" and wants_importance:
-                    importances.append(feature_importance(model).withColumn("model", F.lit(name)))
+                    table = feature_importance(model, ready[key].features)
+                    importances.append(table.withColumn("model", F.lit(name)))
         except Exception as error:  # noqa: BLE001
             failures[name] = str(error)
             continue
@@ -257,7 +286,7 @@ IMPORTANCE_SCHEMA = (
 )
 
 
-def feature_importance(model: PipelineModel) -> DataFrame:
+def feature_importance(model: PipelineModel, names: Sequence[str]) -> DataFrame:
     """Splits and total gain of each feature over all trees, with dense ranks.
 
     Read from the saved model's node table, which Spark writes in parallel.
@@ -273,7 +302,6 @@ def feature_importance(model: PipelineModel) -> DataFrame:
     used = inner.groupBy("index").agg(
         F.count(F.lit(1)).alias("split_importance"), F.sum("gain").alias("gain_importance")
     )
-    names = [c.removeprefix("_filled_") for c in model.stages[1].getInputCols()]
     listed = F.posexplode(F.array(*[F.lit(c) for c in names])).alias("index", "feature")
     every = spark.range(1).select(listed)
     table = every.join(used, "index", "left").select(

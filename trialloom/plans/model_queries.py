@@ -210,7 +210,7 @@ def _fit_query(name: str, learner: str) -> None:
     @query(name)
     def fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
         inputs, names = training_table(spark, sf_dir)
-        _, scored = models.holdout(inputs, names, models.model_registry(ROUNDS)[learner], "group")
+        _, _, scored = models.holdout(inputs, names, models.model_registry(ROUNDS)[learner], "group")
         return scored.where(F.col("split") == "test").select(
             "instance_id", "valid_selection", "true_runtime", "pred_runtime"
         )
@@ -231,15 +231,15 @@ for _name, _learner in (
 def score_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test-side predictions with all keys of the row."""
     inputs, names = training_table(spark, sf_dir)
-    _, scored = models.holdout(inputs, names, models.model_registry(ROUNDS)["linear_regression"], "group")
+    _, _, scored = models.holdout(inputs, names, models.model_registry(ROUNDS)["linear_regression"], "group")
     return scored.where(F.col("split") == "test")
 
 
 @query("feature_importance")
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs, names = training_table(spark, sf_dir)
-    model, _ = models.holdout(inputs, names, models.model_registry(ROUNDS)["boosted_a"], "group")
-    return models.feature_importance(model)
+    model, prepared, _ = models.holdout(inputs, names, models.model_registry(ROUNDS)["boosted_a"], "group")
+    return models.feature_importance(model, prepared.features)
 
 
 def _sweep(spark: SparkSession, sf_dir: str) -> models.Sweep:
