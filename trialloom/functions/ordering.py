@@ -198,10 +198,12 @@ def summarise(
     quantiles: Mapping[str, Mapping[str, float]],
     *,
     max_group_rows: int | None = None,
+    values: DataFrame | None = None,
 ) -> DataFrame:
     """Aggregate by ``keys`` with exact quantiles: ``{value column: {output name: p}}``.
 
-    No keys gives exactly one row, also on empty input.
+    No keys gives exactly one row, also on empty input. ``values`` may name a cheaper table
+    with the same keys and values, from which the spread way then reads them.
     """
     keys = list(keys)
     if fits_in_task(max_group_rows):
@@ -213,7 +215,7 @@ def summarise(
         return df.groupBy(*keys).agg(*aggs, *exact)
 
     result = _grouped(df.groupBy(*keys).agg(*aggs), keys)
-    source = _grouped(df, keys)
+    source = _grouped(df if values is None else values, keys)
     for value, probs in quantiles.items():
         result = result.join(_picked_quantiles(source, value, probs), _GROUP, "left")
     return result.drop(_GROUP)

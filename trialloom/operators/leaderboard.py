@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialloom.functions.bundles import BIT_COLUMNS, with_active_counts, with_bits
@@ -10,8 +10,6 @@ from trialloom.functions.numeric import is_close, safe_rate
 from trialloom.functions.ordering import fits_in_task, rank_within, summarise
 from trialloom.operators.clean import BUNDLE, INSTANCE, TARGET
 
-from pyspark.sql import Window
-
 
 def with_group_best(df: DataFrame, *, name: str = "best_runtime", max_group_rows: int | None = None) -> DataFrame:
     """Repeat each instance's smallest measure on its rows."""
@@ -50,7 +48,7 @@ def bundle_leaderboard(
     """
     standing = with_standing(df, max_group_rows=max_instance_rows or max_rows)
     table = summarise(
-        standing, [BUNDLE], _scores(), {TARGET: {"median_runtime": 0.5}}, max_group_rows=max_rows
+        standing, [BUNDLE], _scores(), {TARGET: {"median_runtime": 0.5}}, max_group_rows=max_rows, values=df
     )
     instances = df.agg(F.count_distinct(INSTANCE)).scalar()
     return table.withColumn("win_rate", safe_rate(F.col("win_count"), instances)).orderBy(
@@ -69,6 +67,7 @@ def bundle_by_stage(
         [F.avg(TARGET).alias("avg_runtime"), F.sum("is_instance_best").alias("win_count")],
         {TARGET: {"median_runtime": 0.5}},
         max_group_rows=max_rows,
+        values=df,
     ).orderBy(F.col("scale_stage"), F.col("win_count").desc(), F.col("avg_runtime"))
 
 
