@@ -29,7 +29,7 @@ WORDS, RADIUS, SEED = 4, 4, 42
 #: First bit and width of the six blocks of a fingerprint.
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 #: Most fingerprints in one tree, and pairs of nodes and searches looked at together.
-TREE, STEP = 4096, 1 << 21
+TREE, STEP = 4096, 1 << 17
 SPACE = b" \t\n\v\f\r"
 
 
@@ -176,7 +176,7 @@ def link_units(units: np.ndarray, prints: np.ndarray, nodes: np.ndarray, tree: n
         a, b = asking[query], inside[node]
         pairs.append((a[a != b], b[a != b]))
         held += len(query)
-        if held > 4 * STEP:  # pairs seen so far become links to their smallest member
+        if held > 8 * STEP:  # pairs seen so far become links to their smallest member
             label = _contract(len(nodes), pairs)
             pairs, held = [(np.arange(len(nodes)), label)], 0
     label = _contract(len(nodes), pairs)
