@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trialloom.llm import simhash
+from trialloom.llm import bpe, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,3 +32,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @_query("op1_simhash_neardup")
 def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query("op2_sharding")
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_table(_table(spark, sf_dir, "documents"))
+
+
+@_query("op8_bpe")
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
