@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from trialloom.llm import bpe
+from trialloom.llm import bpe, texts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
@@ -63,7 +63,7 @@ def test_small_caches_and_pieces(own, library, monkeypatch):
     text = " ".join(f"word{i % 50}x {i}" for i in range(3000))
     monkeypatch.setattr(bpe, "CACHED_WORDS", 7)
     monkeypatch.setattr(bpe, "CACHED_PAIRS", 7)
-    monkeypatch.setattr(bpe, "PIECE", 100)
+    monkeypatch.setattr(texts, "PIECE", 100)
     same(own, library, text)
 
 

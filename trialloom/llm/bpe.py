@@ -24,13 +24,13 @@ import tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialloom.llm.texts import pieces
+
 #: Fixed value: the white space of the vocabulary's word pattern.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the vocabulary's word pattern.
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+"
 CACHED_WORDS, CACHED_PAIRS, LONGEST_CACHED = 300_000, 400_000, 64
-#: Longest piece of text that is looked at at once; pieces end at white space.
-PIECE = 1 << 20
 
 
 @lru_cache(1)
@@ -238,19 +238,6 @@ def lower(text: str) -> str:
     return text.lower() if "Σ" not in text else "".join(map(str.lower, text))
 
 
-def pieces(text: str) -> Iterator[str]:
-    """A text cut at blanks or line ends so that very long texts are held in pieces."""
-    start = 0
-    while len(text) - start > PIECE:
-        end = max(text.rfind(" ", start, start + PIECE), text.rfind("\n", start, start + PIECE))
-        if end <= start:  # one word longer than a piece
-            ends = [x for x in (text.find(" ", start + PIECE), text.find("\n", start + PIECE)) if x >= 0]
-            end = min(ends, default=len(text))
-        yield text[start:end]
-        start = end
-    yield text[start:]
-
-
 _loaded: dict[str, Vocabulary] = {}
 
 

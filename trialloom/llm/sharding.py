@@ -36,7 +36,8 @@ class Span:
     def has(self) -> str:
         if self.place is None:
             return f"shiftright(place, {self.shift}) = {self.prefix}L"
-        return f"place = {self.place}L and shiftright(id, {self.shift}) = {_long(self.prefix)}"
+        whole = f"place = {self.place}L"  # ids of both signs share no bit
+        return whole if self.shift > 63 else f"{whole} and shiftright(id, {self.shift}) = {_long(self.prefix)}"
 
     def bin(self, shift: int) -> str:
         return f"shiftright({'place' if self.place is None else 'id'}, {shift})"
