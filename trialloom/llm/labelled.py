@@ -66,9 +66,9 @@ def matrix(examples: DataFrame, own: Callable[[str], Iterable[str]], index: dict
         found = [sorted(index[f] for f in own(x) if f in index) for x in texts.to_pylist()]
         return pa.array(found, pa.list_(pa.int32()))
 
-    rows = examples.select("label", column(F.col("text")).alias("at")).orderBy("label", F.hash("at"), "at")
-    table = rows.toArrow()
-    return (
-        table.column("label").to_numpy().astype(np.int64),
-        [np.asarray(x, np.int64) for x in table.column("at").to_pylist()],
-    )
+    table = examples.select("label", column(F.col("text")).alias("at")).toArrow()
+    labels = table.column("label").to_numpy().astype(np.int64)
+    at = [np.asarray(x, np.int64) for x in table.column("at").to_pylist()]
+    # the rows come in any order, the fit should not depend on it
+    order = sorted(range(len(at)), key=lambda i: (labels[i], at[i].tobytes()))
+    return labels[order], [at[i] for i in order]

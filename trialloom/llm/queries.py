@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trialloom.llm import bpe, decontaminate, langid, quality, sharding, simhash, topk, toxicity
+import corpus_pipeline
+from trialloom.llm import bpe, decontaminate, langid, licenses, packing, quality, sharding, simhash, topk, toxicity
+from trialloom.llm.license_sql import LICENSE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,3 +86,23 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@_query("op9_license_scan", LICENSE_SQL)
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: folders are the source and blocks of doc_ids."""
+    path = "concat(coalesce(source, ''), '/', doc_id div 1000, '/', doc_id div 50, '/', doc_id, '.txt') as path"
+    found = licenses.scan(_table(spark, sf_dir, "documents").selectExpr(path, "text"))
+    return found.selectExpr("cast(regexp_extract(path, '([0-9]+)[.]txt$', 1) as bigint) as doc_id", "*")
+
+
+@_query("op10_packed_ids")
+def op10_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of 2,048 byte-level token ids; 50256 is the vocabulary's free id and ends documents."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return packing.pack(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, 50256)
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
