@@ -1,6 +1,7 @@
 """Reading, cleaning, splitting and sinks on small tables."""
 
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +119,21 @@ def test_headers_round_trip(spark):
     printed = trial_log.to_headers(df)
     assert printed.columns == ["序号", "客户数"]
     assert trial_log.from_headers(printed).columns == ["id", "customer_num"]
+    wide = df.selectExpr("*", "'p' as profit_median", "1 as bundle_bit_3", "'a' as instance_id")
+    printed = trial_log.to_headers(wide, rest=True)
+    assert printed.columns == ["序号", "客户数", "other", "利润中位数", "Feature3", "instance_id"]
+    assert trial_log.from_headers(printed).columns == ["id", "customer_num", "other", "profit_median", "bundle_bit_3", "instance_id"]
+
+
+def test_columns_come_from_the_file(spark):
+    path = new_path(spark, "scan")
+    sinks.write_csv(trial_log.to_headers(log(spark, [("p", "s", "g", "1", "(a)", "2.5")])), path)
+    back = trial_log.from_headers(trial_log.scan_trial_log(spark, path))
+    assert back.select(*COLUMNS).collect() == [("p", "s", "g", "1", "(a)", "2.5")]
+    path = new_path(spark, "scan")
+    sinks.write_csv(spark.createDataFrame([("1", "2")], "a string, b string"), path)
+    with pytest.raises(KeyError, match="full_runtime.*'a', 'b'"):
+        trial_log.scan_trial_log(spark, path)
 
 
 def test_overwrite_replaces_one_date(spark):
@@ -147,3 +163,32 @@ def test_histogram_edges(spark):
     assert len(bins) == 40 and bins[1] == 1 and bins[2] == 1 and bins[40] == 2 and sum(bins.values()) == 4
     flat = spark.createDataFrame([(2.0,), (2.0,)], "x double")
     assert {r["bin"]: r["n"] for r in profile.histogram(flat, "x").where("n > 0").collect()} == {21: 2}
+
+
+def test_instance_keys_stay_apart(spark):
+    """Seeds are kept digit for digit, and a missing part is visible."""
+    rows = [("p", "s", "g", seed, "(0)", "1") for seed in ("1.5", "1", "1.0", " 7 ", "9007199254740993", "x1")]
+    rows += [("p", None, "g", "1", "(0)", "1"), ("p", "g", None, "1", "(0)", "1")]
+    keys = [r["instance_id"] for r in clean.with_instance_id(log(spark, rows)).collect()]
+    assert keys == [
+        "p|s|g|1.5", "p|s|g|1", "p|s|g|1", "p|s|g|7", "p|s|g|9007199254740993", "p|s|g|x1", "p|?|g|1", "p|g|?|1",
+    ]
+
+
+def test_staged_tables_can_be_dropped(spark):
+    from trialloom.session import staged, written_tables
+
+    kept = staged(spark.range(3), "kept")
+    with written_tables(spark):
+        gone = staged(spark.range(4), "gone")
+        assert gone.count() == 4
+        path = gone.inputFiles()[0]
+    assert kept.count() == 3 and not os.path.exists(path.removeprefix("file://").removeprefix("file:"))
+
+
+def test_augmented_sink_as_csv(spark):
+    """Arrays are printed as JSON text, everything else as it is."""
+    path = new_path(spark, "csv")
+    sinks.write_dataset(spark.createDataFrame([("a", [1.5, 2.0], 3)], "k string, v array<double>, n int"), path, as_csv=True)
+    (row,) = spark.read.option("header", True).csv(path).collect()
+    assert (row["k"], row["v"], row["n"]) == ("a", "[1.5,2.0]", "3")

@@ -184,10 +184,16 @@ GAIN_SELECTION_DROP: list[str] = []
 
 
 def header_of(name: str) -> str:
-    """Printed header of a log or statistic column; other names stay as they are."""
+    """Printed header of a log, statistic or bit column; other names stay as they are."""
     return _ALL_HEADERS.get(name, name)
 
 
 _ALL_HEADERS = dict(HEADERS) | {
     f"{array}_{stat}": prefix + suffix for array, prefix in STAT_ARRAYS for stat, suffix in STATS
-}
+} | {f"bundle_bit_{i}": f"Feature{i}" for i in range(1, 7)}
+_ALL_KEYS = {header: key for key, header in _ALL_HEADERS.items()}
+
+
+def key_of(header: str) -> str:
+    """Row key of a printed header; other names stay as they are."""
+    return _ALL_KEYS.get(header, header)

@@ -1,10 +1,11 @@
 """Exact ranks, quantiles and running totals that survive a hot group.
 
-Every function takes ``max_group_rows``, a proven upper bound on the rows of one
-group. Within ``IN_TASK_ROWS`` a plain window or ``percentile`` is used. Beyond it, or
-with no bound known, the rows are first counted per distinct (group, value), then
-range-partitioned by (group, value), so that a hot group spreads over many tasks, and
-only one total per (group, partition) is needed to turn local positions into global ones.
+Rows are counted per distinct (group, value) and range-partitioned by both, so that a group
+with most of the rows spreads over many tasks, and only one total per (group, partition) is
+needed to turn local positions into global ones. Results and types don't depend on the size of
+anything. ``rank_within`` takes ``small_groups=True`` where every group is bounded by
+construction (an instance has 64 rows after the completeness test): a plain window then gives
+the same numbers.
 """
 
 from __future__ import annotations
@@ -16,16 +17,10 @@ from pyspark.sql import functions as F
 
 from trialloom.session import settle
 
-IN_TASK_ROWS = 2_000_000
-"""Rows that one task may sort or hold for a single group."""
-
 _GROUP = "_group"
 _PART = "_part"
 _ROWS = "_rows"
-
-
-def fits_in_task(max_group_rows: int | None) -> bool:
-    return max_group_rows is not None and max_group_rows <= IN_TASK_ROWS
+_SALT = "_salt"
 
 
 def _grouped(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -76,26 +71,28 @@ def rank_within(
     method: str = "min",
     ties: Sequence[str] = (),
     ascending: bool = True,
-    max_group_rows: int | None = None,
+    small_groups: bool = False,
 ) -> DataFrame:
     """Add the rank of ``value`` inside each group; a null value stays unranked.
 
-    ``method`` is ``min`` (ties share the lowest rank), ``average``, ``dense`` or
-    ``first`` (row number, where ``ties`` must make the order unique).
+    ``method`` is ``min`` (ties share the lowest rank), ``average``, ``dense`` or ``first`` (a row
+    number; equal rows are numbered in any order). Average ranks are doubles, all others longs.
     """
     if method not in ("min", "average", "dense", "first"):
         raise ValueError(f"unknown rank method {method!r}")
     keys, ties = list(keys), list(ties)
     order = _sort_keys(value, ties, ascending)
 
-    if fits_in_task(max_group_rows):
+    if small_groups:
         w = Window.partitionBy(*keys).orderBy(*order)
         if method == "average":
             same = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
             rank = F.rank().over(w) + (same - 1) / 2.0
         else:
-            rank = {"min": F.rank, "dense": F.dense_rank, "first": F.row_number}[method]().over(w)
+            rank = {"min": F.rank, "dense": F.dense_rank, "first": F.row_number}[method]().over(w).cast("long")
         return df.withColumn(name, F.when(F.col(value).isNotNull(), rank))
+    if method == "first":
+        return _numbered(df, keys, value, order, name)
 
     names = [value, *ties]
     source = _grouped(df, keys)
@@ -112,7 +109,6 @@ def rank_within(
     values_before = F.col("_start_values") + F.count(F.lit(1)).over(local)
     rank = {
         "min": rows_before + 1,
-        "first": rows_before + 1,
         "dense": values_before + 1,
         "average": rows_before + 1 + (F.col(_ROWS) - 1) / 2.0,
     }[method]
@@ -121,13 +117,22 @@ def rank_within(
     return source.withColumn("_slot", slot).join(ranks, "_slot", "left").select(*df.columns, name)
 
 
-def running_total(
-    df: DataFrame, order: str, amount: str, *, name: str, max_rows: int | None = None
-) -> DataFrame:
+def _numbered(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[Column], name: str) -> DataFrame:
+    """Row numbers: the rows themselves are range-partitioned, so equal rows get different ones."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = _grouped(df, keys).where(F.col(value).isNotNull()).withColumn(_SALT, F.monotonically_increasing_id())
+    placed = some.repartitionByRange(partitions, F.col(_GROUP), *order, F.col(_SALT))
+    # The partition number must not change between its two uses, hence the checkpoint.
+    rows = settle(placed.withColumn(_PART, F.spark_partition_id()))
+    starts = _part_starts(rows.withColumn(_ROWS, F.lit(1)))
+    place = F.row_number().over(Window.partitionBy(_GROUP, _PART).orderBy(*order, _SALT))
+    numbered = rows.withColumn("_place", place).join(starts, [_GROUP, _PART])
+    numbered = numbered.withColumn(name, F.col("_start_rows") + F.col("_place")).select(*df.columns, name)
+    return numbered.unionByName(df.where(F.col(value).isNull()).withColumn(name, F.lit(None).cast("long")))
+
+
+def running_total(df: DataFrame, order: str, amount: str, *, name: str) -> DataFrame:
     """Add the total of ``amount`` over all rows before this one; ``order`` must be unique."""
-    if fits_in_task(max_rows):
-        before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(name, F.coalesce(F.sum(amount).over(before), F.lit(0)))
     parts = _ordered_parts(_grouped(df, []), [F.col(order).asc()], [order], F.sum(amount))
     local = Window.partitionBy(_PART).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     totals = parts.join(_part_starts(parts), [_GROUP, _PART]).select(
@@ -197,23 +202,14 @@ def summarise(
     aggs: Sequence[Column],
     quantiles: Mapping[str, Mapping[str, float]],
     *,
-    max_group_rows: int | None = None,
     values: DataFrame | None = None,
 ) -> DataFrame:
     """Aggregate by ``keys`` with exact quantiles: ``{value column: {output name: p}}``.
 
     No keys gives exactly one row, also on empty input. ``values`` may name a cheaper table
-    with the same keys and values, from which the spread way then reads them.
+    with the same keys and values, from which the quantiles are then read.
     """
     keys = list(keys)
-    if fits_in_task(max_group_rows):
-        exact = [
-            F.percentile(value, F.lit(float(p))).alias(name)
-            for value, probs in quantiles.items()
-            for name, p in probs.items()
-        ]
-        return df.groupBy(*keys).agg(*aggs, *exact)
-
     result = _grouped(df.groupBy(*keys).agg(*aggs), keys)
     source = _grouped(df if values is None else values, keys)
     for value, probs in quantiles.items():

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialloom.functions.bundles import EXPECTED_BUNDLES
+from trialloom.functions.joining import salted_join
 from trialloom.functions.numeric import to_number
 
 TARGET = "full_runtime"
@@ -41,12 +42,16 @@ def above_minimum(df: DataFrame, minimum: float = 0.5, target: str = TARGET) ->
 
 
 def with_instance_id(df: DataFrame) -> DataFrame:
-    """Join the key columns with ``|``; a numeric seed prints as a whole number."""
-    seed = F.col(SEED).cast("string")
-    if dict(df.dtypes)[SEED] not in ("int", "bigint"):
-        seed = F.coalesce(to_number(SEED).cast("long").cast("string"), seed)
-    keys = [seed if c == SEED else F.col(c) for c in INSTANCE_KEYS]
-    return df.withColumn(INSTANCE, F.concat_ws("|", *keys))
+    """Join the key columns with ``|``.
+
+    A whole number prints without a fraction, digit for digit; any other seed prints as it is.
+    A null prints as ``?``, so that keys with and without a part stay apart.
+    """
+    text = F.trim(F.col(SEED).cast("string"))
+    whole = F.regexp_extract(text, r"^([+-]?[0-9]+)([.]0*)?$", 1)
+    seed = F.coalesce(F.expr("try_cast(_whole as decimal(38, 0))").cast("string"), text)
+    keys = [F.coalesce(seed if c == SEED else F.col(c), F.lit("?")) for c in INSTANCE_KEYS]
+    return df.withColumn("_whole", whole).withColumn(INSTANCE, F.concat_ws("|", *keys)).drop("_whole")
 
 
 def complete_instances(df: DataFrame, expected: int = EXPECTED_BUNDLES) -> DataFrame:
@@ -56,7 +61,8 @@ def complete_instances(df: DataFrame, expected: int = EXPECTED_BUNDLES) -> DataF
 
 
 def keep_members(df: DataFrame, members: DataFrame, on: str = INSTANCE) -> DataFrame:
-    return df.join(members, on, "left_semi")
+    """Rows whose key is listed; a key with very many rows is spread over tasks."""
+    return salted_join(df, members, [on], "left_semi", BUNDLE)
 
 
 def keep_complete(df: DataFrame, expected: int = EXPECTED_BUNDLES) -> DataFrame:

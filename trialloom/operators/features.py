@@ -36,7 +36,7 @@ def removed_features(columns: Sequence[str], unwanted: Sequence[str]) -> list[st
 
 
 def model_inputs(
-    df: DataFrame, *, drop: Sequence[str] = tuple(MODEL_DROP), max_rows: int | None = None
+    df: DataFrame, *, drop: Sequence[str] = tuple(MODEL_DROP)
 ) -> tuple[DataFrame, list[str]]:
     """One table of keys, label and numeric features, and the feature names.
 
@@ -48,5 +48,5 @@ def model_inputs(
     features = [c for c in kept.columns if c != LABEL and not c.startswith("meta_")]
     fixed = [c for c in kept.columns if c not in features]
     # The keys keep their text inside a struct; only the features are encoded.
-    encoded = encode_mixed(kept.select(*features, F.struct(*fixed).alias("_fixed")), max_rows=max_rows)
+    encoded = encode_mixed(kept.select(*features, F.struct(*fixed).alias("_fixed")))
     return encoded.select("_fixed.*", *[F.col(c).cast("double").alias(c) for c in features]), features

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialloom.functions.bundles import BASELINE_BUNDLE
+from trialloom.functions.joining import salted_join
 from trialloom.functions.numeric import guarded_gain
 from trialloom.functions.ordering import summarise
 from trialloom.operators.clean import BUNDLE, INSTANCE, TARGET
@@ -46,7 +47,7 @@ def baseline_lookup(df: DataFrame, baseline: str = BASELINE_BUNDLE) -> DataFrame
         .groupBy(INSTANCE)
         .agg(F.min(TARGET).alias("baseline_runtime"))
     )
-    return df.join(base, INSTANCE, "left")
+    return salted_join(df, base, [INSTANCE], "left", BUNDLE)
 
 
 def instance_summary(df: DataFrame, baseline: str = BASELINE_BUNDLE) -> DataFrame:
@@ -79,7 +80,7 @@ def instance_summary(df: DataFrame, baseline: str = BASELINE_BUNDLE) -> DataFram
     )
 
 
-def instance_overview(summary: DataFrame, *, max_rows: int | None = None) -> DataFrame:
+def instance_overview(summary: DataFrame) -> DataFrame:
     return summarise(
         summary,
         [],
@@ -94,7 +95,6 @@ def instance_overview(summary: DataFrame, *, max_rows: int | None = None) -> Dat
             "runtime_range": {"median_runtime_range": 0.5},
             "best_vs_baseline_gain": {"median_best_vs_baseline_gain": 0.5},
         },
-        max_group_rows=max_rows,
     )
 
 

@@ -7,25 +7,27 @@ from pyspark.sql import functions as F
 
 from trialloom.functions.bundles import BIT_COLUMNS, with_active_counts, with_bits
 from trialloom.functions.numeric import is_close, safe_rate
-from trialloom.functions.ordering import fits_in_task, rank_within, summarise
+from trialloom.functions.joining import salted_join
+from trialloom.functions.ordering import rank_within, summarise
 from trialloom.operators.clean import BUNDLE, INSTANCE, TARGET
 
 
-def with_group_best(df: DataFrame, *, name: str = "best_runtime", max_group_rows: int | None = None) -> DataFrame:
-    """Repeat each instance's smallest measure on its rows."""
-    if fits_in_task(max_group_rows):
+def with_group_best(df: DataFrame, *, name: str = "best_runtime", complete: bool = False) -> DataFrame:
+    """Repeat each instance's smallest measure on its rows.
+
+    ``complete`` says that the log passed the completeness test, so an instance has 64 rows.
+    """
+    if complete:
         return df.withColumn(name, F.min(TARGET).over(Window.partitionBy(INSTANCE)))
     best = df.groupBy(INSTANCE).agg(F.min(TARGET).alias(name))
-    return df.join(best, INSTANCE, "left")
+    return salted_join(df, best, [INSTANCE], "left", BUNDLE)
 
 
-def with_standing(df: DataFrame, *, max_group_rows: int | None = None) -> DataFrame:
+def with_standing(df: DataFrame, *, complete: bool = False) -> DataFrame:
     """Add best measure, best flag (tolerant) and rank inside the instance."""
-    best = with_group_best(df, max_group_rows=max_group_rows)
+    best = with_group_best(df, complete=complete)
     flagged = best.withColumn("is_instance_best", is_close(F.col(TARGET), F.col("best_runtime")))
-    return rank_within(
-        flagged, [INSTANCE], TARGET, name="rank_in_instance", max_group_rows=max_group_rows
-    )
+    return rank_within(flagged, [INSTANCE], TARGET, name="rank_in_instance", small_groups=complete)
 
 
 def _scores() -> list[Column]:
@@ -38,35 +40,27 @@ def _scores() -> list[Column]:
     ]
 
 
-def bundle_leaderboard(
-    df: DataFrame, *, max_rows: int | None = None, max_instance_rows: int | None = None
-) -> DataFrame:
+def bundle_leaderboard(df: DataFrame, *, complete: bool = False) -> DataFrame:
     """Per bundle: count, mean, median, sample std, wins, mean rank and win rate.
 
-    ``max_rows`` bounds the log, ``max_instance_rows`` one instance (64 after the
-    completeness test).
+    ``complete`` says that the log passed the completeness test, so an instance has 64 rows.
     """
-    standing = with_standing(df, max_group_rows=max_instance_rows or max_rows)
-    table = summarise(
-        standing, [BUNDLE], _scores(), {TARGET: {"median_runtime": 0.5}}, max_group_rows=max_rows, values=df
-    )
+    standing = with_standing(df, complete=complete)
+    table = summarise(standing, [BUNDLE], _scores(), {TARGET: {"median_runtime": 0.5}}, values=df)
     instances = df.agg(F.count_distinct(INSTANCE)).scalar()
     return table.withColumn("win_rate", safe_rate(F.col("win_count"), instances)).orderBy(
         F.col("win_count").desc(), F.col("avg_runtime").asc()
     )
 
 
-def bundle_by_stage(
-    df: DataFrame, *, max_rows: int | None = None, max_instance_rows: int | None = None
-) -> DataFrame:
-    best = with_group_best(df, max_group_rows=max_instance_rows or max_rows)
+def bundle_by_stage(df: DataFrame, *, complete: bool = False) -> DataFrame:
+    best = with_group_best(df, complete=complete)
     flagged = best.withColumn("is_instance_best", is_close(F.col(TARGET), F.col("best_runtime")))
     return summarise(
         flagged,
         ["scale_stage", BUNDLE],
         [F.avg(TARGET).alias("avg_runtime"), F.sum("is_instance_best").alias("win_count")],
         {TARGET: {"median_runtime": 0.5}},
-        max_group_rows=max_rows,
         values=df,
     ).orderBy(F.col("scale_stage"), F.col("win_count").desc(), F.col("avg_runtime"))
 
@@ -89,7 +83,7 @@ def bit_effects(df: DataFrame) -> DataFrame:
 def active_interaction(df: DataFrame) -> DataFrame:
     return (
         with_active_counts(with_bits(df))
-        .groupBy("root_active_count", "later_active_count")
+        .groupBy("root_active_count", F.col("later_active_count").alias("nonroot_active_count"))
         .agg(F.avg(TARGET).alias("avg_runtime"))
     )
 

@@ -32,7 +32,9 @@ ROUNDS = 200
 BOOSTED_A = {"maxDepth": 3, "stepSize": 0.2, "subsamplingRate": 0.85, "featureSubsetStrategy": "0.7", "seed": 0}
 BOOSTED_B = {"maxDepth": 5, "stepSize": 0.01, "minInstancesPerNode": 2, "featureSubsetStrategy": "0.7", "seed": 0}
 BOOSTED_C = {"maxDepth": 5, "stepSize": 0.1, "seed": 7}
-FOREST = {"maxDepth": 8, "featureSubsetStrategy": "all", "seed": 7}
+FOREST = {"featureSubsetStrategy": "all", "seed": 7}
+#: Depth of forest trees: the most that MLlib allows, as the learner this stands for has no bound.
+FOREST_DEPTH = 30
 
 # Histograms of a group of tree nodes stay below this, so deep trees fit in memory.
 NODE_MEMORY_MB = 32
@@ -49,9 +51,9 @@ def _boosted(options: dict, rounds: int) -> Callable[[int], list[Estimator]]:
     ]
 
 
-def _forest(trees: int) -> Callable[[int], list[Estimator]]:
+def _forest(trees: int, depth: int) -> Callable[[int], list[Estimator]]:
     return lambda width: [
-        RandomForestRegressor(numTrees=trees, maxMemoryInMB=NODE_MEMORY_MB, **FOREST, **_COLUMNS)
+        RandomForestRegressor(numTrees=trees, maxDepth=depth, maxMemoryInMB=NODE_MEMORY_MB, **FOREST, **_COLUMNS)
     ]
 
 
@@ -79,25 +81,24 @@ class FourierFeatures(Transformer):
         return dataset.withColumn("waves", array_to_vector(waves(vector_to_array("scaled"))))
 
 
-def _kernel(width: int) -> list[Estimator]:
-    robust = LinearRegression(
-        loss="huber", regParam=1e-3, featuresCol="waves", labelCol=LABEL, predictionCol=PRED
-    )
-    return [
+def _kernel(count: int) -> Callable[[int], list[Estimator]]:
+    return lambda width: [
         StandardScaler(withMean=True, inputCol="features", outputCol="scaled"),
-        FourierFeatures(width),
-        robust,
+        FourierFeatures(width, count),
+        LinearRegression(loss="huber", regParam=1e-3, featuresCol="waves", labelCol=LABEL, predictionCol=PRED),
     ]
 
 
-def model_registry(rounds: int = ROUNDS) -> dict[str, Callable[[int], list[Estimator]]]:
+def model_registry(
+    rounds: int = ROUNDS, *, forest_depth: int = FOREST_DEPTH, kernel_features: int = KERNEL_FEATURES
+) -> dict[str, Callable[[int], list[Estimator]]]:
     """Learners by name; each takes the feature count and gives the stages after assembly."""
     return {
         "boosted_a": _boosted(BOOSTED_A, rounds),
         "boosted_b": _boosted(BOOSTED_B, rounds),
-        "random_forest": _forest(rounds),
+        "random_forest": _forest(rounds, forest_depth),
         "gradient_boosting": _boosted(BOOSTED_C, rounds),
-        "kernel": _kernel,
+        "kernel": _kernel(kernel_features),
         "linear_regression": _linear,
     }
 
@@ -113,10 +114,14 @@ SCHEMES = {"random": (f"meta_{INSTANCE}", f"meta_{BUNDLE}"), "group": (f"meta_{I
 
 @dataclass
 class Prepared:
-    """Rows of one holdout with their assembled features, written once for all learners."""
+    """Rows of one holdout with their assembled features, written once for all learners.
+
+    ``hollow`` are features without any value on the training side: they are not assembled.
+    """
 
     rows: DataFrame
     features: list[str]
+    hollow: list[str] = field(default_factory=list)
 
 
 def prepare(
@@ -140,7 +145,7 @@ def prepare(
     ).fit(train)
     meta = [c for c in split.columns if c.startswith("meta_")]
     rows = assembly.transform(split).select(*meta, LABEL, "split", "features")
-    return Prepared(staged(rows, "prepared"), usable)
+    return Prepared(staged(rows, "prepared"), usable, [c for c in features if c not in usable])
 
 
 def fit(prepared: Prepared, stages: Callable[[int], list[Estimator]]) -> PipelineModel:
@@ -185,7 +190,44 @@ class Sweep:
     failures: dict[str, str] = field(default_factory=dict)
 
 
-def _tables(spark, scored, importances, failures, max_group_rows, max_rows) -> Sweep:
+@dataclass
+class Fits:
+    """Fits of the same inputs, kept so that no learner is fitted twice on the same features."""
+
+    inputs: DataFrame
+    test_size: float = TEST_SIZE
+    seed: int = SEED
+    ready: dict[tuple, Prepared] = field(default_factory=dict)
+    scored: dict[tuple, DataFrame] = field(default_factory=dict)
+    ranked: dict[tuple, DataFrame] = field(default_factory=dict)
+
+    def prepared(self, features: Sequence[str], scheme: str) -> Prepared:
+        key = (scheme, *features)
+        if key not in self.ready:
+            self.ready[key] = prepare(self.inputs, features, scheme, test_size=self.test_size, seed=self.seed)
+        return self.ready[key]
+
+    def scores(
+        self, name: str, features: Sequence[str], stages: Callable, scheme: str, importance: bool = False
+    ) -> DataFrame:
+        """Scores of one learner under one holdout, with ``model`` and ``scheme``, written once."""
+        key = (name, scheme, *features)
+        if key not in self.scored or importance and key not in self.ranked:
+            ready = self.prepared(features, scheme)
+            model = fit(ready, stages)
+            rows = score(model, ready).withColumns({"model": F.lit(name), "scheme": F.lit(scheme)})
+            self.scored[key] = staged(rows, "scores")
+            if hasattr(model.stages[-1], "trees"):
+                table = feature_importance(model, ready.features, ready.hollow)
+                self.ranked[key] = staged(table, "importances")
+        return self.scored[key]
+
+    def importances(self, name: str, features: Sequence[str], stages: Callable, scheme: str = "group") -> DataFrame:
+        self.scores(name, features, stages, scheme, True)
+        return self.ranked[(name, scheme, *features)]
+
+
+def _tables(spark, scored, importances, failures, complete) -> Sweep:
     errors = spark.createDataFrame(list(failures.items()), "model string, error string")
     if not scored:
         raise RuntimeError(f"every model failed: {failures}")
@@ -193,7 +235,7 @@ def _tables(spark, scored, importances, failures, max_group_rows, max_rows) -> S
     for other in scored[1:]:
         rows = rows.unionByName(other)
     grouped = rows.where((F.col("scheme") == "group") & (F.col("split") == "test"))
-    cases = task_cases(grouped, by=["model"], max_group_rows=max_group_rows)
+    cases = task_cases(grouped, by=["model"], small_groups=complete)
     listed = None
     for table in importances:
         listed = table if listed is None else listed.unionByName(table)
@@ -201,7 +243,7 @@ def _tables(spark, scored, importances, failures, max_group_rows, max_rows) -> S
         listed = spark.createDataFrame([], IMPORTANCE_SCHEMA)
     return Sweep(
         summary=sweep_summary(rows),
-        task_summary=task_summary(cases, by=["model"], max_rows=max_rows),
+        task_summary=task_summary(cases, by=["model"]),
         cases=cases,
         importances=listed,
         errors=errors,
@@ -217,11 +259,13 @@ def model_sweep(
     importance_of: Sequence[str] = ("boosted_a",),
     test_size: float = TEST_SIZE,
     seed: int = SEED,
-    max_group_rows: int | None = None,
-    max_rows: int | None = None,
+    complete: bool = False,
+    fits: Fits | None = None,
 ) -> Sweep:
     """Every learner under both holdouts; one that fails is noted and the sweep goes on.
 
+    ``complete`` says that an instance has 64 rows; ``fits`` may hold earlier fits of the inputs.
+
     Only names are looped over; each fit and each score is a distributed job. Learners
     share the prepared rows of a holdout, and scores are written to the shared folder, so
     that later tables do not score again.
@@ -229,31 +273,24 @@ def model_sweep(
     variants = {
         name: (features, stages, name in importance_of) for name, stages in (registry or model_registry()).items()
     }
-    return _sweep(inputs, variants, test_size, seed, max_group_rows, max_rows)
+    return _sweep(inputs, variants, fits or Fits(inputs, test_size, seed), complete)
 
 
-def _sweep(inputs, variants, test_size, seed, max_group_rows, max_rows) -> Sweep:
+def _sweep(inputs, variants, fits: Fits, complete: bool) -> Sweep:
     spark = inputs.sparkSession
     scored, importances, failures = [], [], {}
-    ready: dict[tuple, Prepared] = {}
     for name, (features, stages, wants_importance) in variants.items():
         try:
             tables = []
             for scheme in SCHEMES:
-                key = (scheme, *features)
-                if key not in ready:
-                    ready[key] = prepare(inputs, features, scheme, test_size=test_size, seed=seed)
-                model = fit(ready[key], stages)
-                rows = score(model, ready[key]).withColumns({"model": F.lit(name), "scheme": F.lit(scheme)})
-                tables.append(staged(rows, "scores"))
+                tables.append(fits.scores(name, features, stages, scheme))
                 if scheme == "group" and wants_importance:
-                    table = feature_importance(model, ready[key].features)
-                    importances.append(table.withColumn("model", F.lit(name)))
+                    importances.append(fits.importances(name, features, stages).withColumn("model", F.lit(name)))
         except Exception as error:  # noqa: BLE001
             failures[name] = str(error)
             continue
         scored += tables
-    return _tables(spark, scored, importances, failures, max_group_rows, max_rows)
+    return _tables(spark, scored, importances, failures, complete)
 
 
 def ablation_sweep(
@@ -264,8 +301,8 @@ def ablation_sweep(
     rounds: int = ROUNDS,
     test_size: float = TEST_SIZE,
     seed: int = SEED,
-    max_group_rows: int | None = None,
-    max_rows: int | None = None,
+    complete: bool = False,
+    fits: Fits | None = None,
 ) -> Sweep:
     """The first booster without each list of features; ``removed_feature_count`` counts those present."""
     schemes = schemes or {"split_manual": SPLIT_SELECTION_DROP, "gain_manual": GAIN_SELECTION_DROP}
@@ -273,7 +310,7 @@ def ablation_sweep(
     variants = {
         name: ([c for c in features if c not in unwanted], stages, True) for name, unwanted in schemes.items()
     }
-    result = _sweep(inputs, variants, test_size, seed, max_group_rows, max_rows)
+    result = _sweep(inputs, variants, fits or Fits(inputs, test_size, seed), complete)
     counts = F.create_map(
         *[F.lit(x) for n, unwanted in schemes.items() for x in (n, len(removed_features(features, unwanted)))]
     )
@@ -282,13 +319,15 @@ def ablation_sweep(
 
 
 IMPORTANCE_SCHEMA = (
-    "feature string, split_importance long, gain_importance double, split_rank int, gain_rank int, model string"
+    "feature string, split_importance long, gain_importance double, split_rank long, gain_rank long, model string"
 )
 
 
-def feature_importance(model: PipelineModel, names: Sequence[str]) -> DataFrame:
+def feature_importance(model: PipelineModel, names: Sequence[str], hollow: Sequence[str] = ()) -> DataFrame:
     """Splits and total gain of each feature over all trees, with dense ranks.
 
+    ``names`` are the assembled features; ``hollow`` ones, which have no value, are listed with 0.
+
     Read from the saved model's node table, which Spark writes in parallel.
     """
     trees = model.stages[-1]
@@ -302,14 +341,13 @@ def feature_importance(model: PipelineModel, names: Sequence[str]) -> DataFrame:
     used = inner.groupBy("index").agg(
         F.count(F.lit(1)).alias("split_importance"), F.sum("gain").alias("gain_importance")
     )
-    listed = F.posexplode(F.array(*[F.lit(c) for c in names])).alias("index", "feature")
+    listed = F.posexplode(F.array(*[F.lit(c) for c in [*names, *hollow]])).alias("index", "feature")
     every = spark.range(1).select(listed)
     table = every.join(used, "index", "left").select(
         "feature",
         F.coalesce("split_importance", F.lit(0)).alias("split_importance"),
         F.coalesce("gain_importance", F.lit(0.0)).alias("gain_importance"),
     )
-    bound = len(names)
     for kind in ("split", "gain"):
         table = rank_within(
             table,
@@ -318,6 +356,6 @@ def feature_importance(model: PipelineModel, names: Sequence[str]) -> DataFrame:
             name=f"{kind}_rank",
             method="dense",
             ascending=False,
-            max_group_rows=bound,
+            small_groups=True,  # one row for each feature
         )
     return table.orderBy(F.col("gain_importance").desc(), "feature")

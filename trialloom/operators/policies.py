@@ -99,7 +99,7 @@ def standard_cases(df: DataFrame, *, seed: int = SEED) -> DataFrame:
     return _outcome(cases)
 
 
-def policy_summary(cases: DataFrame, *, max_rows: int | None = None) -> DataFrame:
+def policy_summary(cases: DataFrame) -> DataFrame:
     return summarise(
         cases,
         ["policy"],
@@ -110,5 +110,4 @@ def policy_summary(cases: DataFrame, *, max_rows: int | None = None) -> DataFram
             F.avg("top1_hit").alias("top1_hit_rate"),
         ],
         {"regret": {"median_regret": 0.5}},
-        max_group_rows=max_rows,
     ).orderBy("avg_regret")

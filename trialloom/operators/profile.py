@@ -31,9 +31,7 @@ LENGTH_RULES = [
 ]
 
 
-def measure_summary(
-    df: DataFrame, by: Sequence[str] = (), *, value: str = TARGET, max_rows: int | None = None
-) -> DataFrame:
+def measure_summary(df: DataFrame, by: Sequence[str] = (), *, value: str = TARGET) -> DataFrame:
     """Nine numbers per group: count, mean, population std, min, quartiles, max, sample skew."""
     x = F.expr(finite_sql(f"try_cast(`{value}` as double)"))
     # An empty group has count 0 and nulls; the columns are named as a profile reads.
@@ -49,16 +47,15 @@ def measure_summary(
             sample_skew("_x").alias("skew"),
         ],
         {"_x": QUARTILES},
-        max_group_rows=max_rows,
     )
 
 
-def summary_by_stage(df: DataFrame, *, max_rows: int | None = None) -> DataFrame:
-    return measure_summary(df, ["scale_phase", "scale_stage"], max_rows=max_rows)
+def summary_by_stage(df: DataFrame) -> DataFrame:
+    return measure_summary(df, ["scale_phase", "scale_stage"])
 
 
-def summary_by_signature(df: DataFrame, *, max_rows: int | None = None) -> DataFrame:
-    return measure_summary(df, ["size_signature"], max_rows=max_rows).orderBy(
+def summary_by_signature(df: DataFrame) -> DataFrame:
+    return measure_summary(df, ["size_signature"]).orderBy(
         F.col("median").desc_nulls_last(), "size_signature"
     )
 

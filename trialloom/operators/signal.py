@@ -7,24 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialloom.functions.joining import salted_join
 from trialloom.functions.numeric import finite_sql, is_close, is_number_sql, pearson_sql, to_number, to_number_sql
 from trialloom.functions.ordering import rank_within
 from trialloom.operators.clean import BUNDLE, INSTANCE, TARGET
 from trialloom.operators.leaderboard import with_group_best
+from trialloom.session import staged
 
 NOT_FEATURES = {TARGET, INSTANCE, BUNDLE, "id"}
 MIN_VALID = 0.95
-NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double")
+NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")
+#: Codes of one column that may be broadcast; more are joined by salted keys.
+BROADCAST_CODES = 10_000
+
+
+def _numeric(kind: str) -> bool:
+    return kind in NUMERIC_TYPES or kind.startswith("decimal")
 
 
 def _number(df_types: dict[str, str], column: str) -> str:
-    if df_types[column] in NUMERIC_TYPES:
+    if _numeric(df_types[column]):
         return finite_sql(f"cast(`{column}` as double)")
     return to_number_sql(f"`{column}`")
 
 
 def _scalar_columns(df: DataFrame) -> list[str]:
-    return [c for c, kind in df.dtypes if kind == "string" or kind in NUMERIC_TYPES]
+    return [c for c, kind in df.dtypes if kind == "string" or _numeric(kind)]
 
 
 def _long(df: DataFrame, names: Sequence[str], *keep: str) -> DataFrame:
@@ -104,12 +112,10 @@ def signal_to_measure(df: DataFrame, names: Sequence[str] | None = None) -> Data
     return _signal(numbers, names, "_y", "pearson_with_runtime")
 
 
-def signal_to_best(
-    df: DataFrame, names: Sequence[str] | None = None, *, max_group_rows: int | None = None
-) -> DataFrame:
+def signal_to_best(df: DataFrame, names: Sequence[str] | None = None, *, complete: bool = False) -> DataFrame:
     """Correlation with the flag of being best in one's instance."""
     names = candidate_features(df) if names is None else list(names)
-    best = with_group_best(df, name="_best", max_group_rows=max_group_rows)
+    best = with_group_best(df, name="_best", complete=complete)
     flagged = best.withColumn("_y", is_close(F.col(TARGET), F.col("_best")).cast("double"))
     numbers = numeric_features(flagged, names, "_y")
     return _signal(numbers, names, "_y", "pearson_with_optimal_flag")
@@ -126,22 +132,26 @@ def text_columns(df: DataFrame) -> list[str]:
     return [c for c in texts if wordy[c] > 0]
 
 
-def encode_mixed(df: DataFrame, *, max_rows: int | None = None) -> DataFrame:
+def encode_mixed(df: DataFrame) -> DataFrame:
     """All columns numeric: parsed where every value parses, else codes in sorted order.
 
     Codes start at 0; a null gets -1. They come from the distinct values only.
     """
-    wordy = set(text_columns(df))
-    encoded = df
-    for column in [c for c, kind in df.dtypes if kind == "string"]:
-        if column not in wordy:
-            encoded = encoded.withColumn(column, to_number(column))
-            continue
-        values = df.select(F.col(f"`{column}`").alias("_value")).where(F.col("_value").isNotNull()).distinct()
-        codes = rank_within(values, [], "_value", name="_code", method="dense", max_group_rows=max_rows)
-        encoded = (
-            encoded.join(codes, F.col(f"`{column}`") == F.col("_value"), "left")
-            .withColumn(column, F.coalesce(F.col("_code") - 1, F.lit(-1)).cast("int"))
-            .drop("_value", "_code")
-        )
-    return encoded
+    texts = [c for c, kind in df.dtypes if kind == "string"]
+    wordy = [c for c in text_columns(df)]
+    encoded = df.withColumns({c: to_number(c) for c in texts if c not in wordy})
+    if not wordy:
+        return encoded
+    # All columns' distinct values from one pass over the table, coded together.
+    values = df.select(*wordy).unpivot([], wordy, "_column", "_value").where("_value is not null").distinct()
+    codes = staged(rank_within(values, ["_column"], "_value", name="_code", method="dense"), "codes")
+    sizes = dict(codes.groupBy("_column").count().collect())
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if c not in wordy] or [F.lit(0)])
+    for column in wordy:
+        own = codes.where(F.col("_column") == column).select(F.col("_value").alias(column), "_code")
+        if sizes.get(column, 0) <= BROADCAST_CODES:
+            encoded = encoded.join(F.broadcast(own), column, "left")
+        else:
+            encoded = salted_join(encoded, own, [column], "left", row)
+        encoded = encoded.withColumn(column, F.coalesce(F.col("_code") - 1, F.lit(-1)).cast("int")).drop("_code")
+    return encoded.select(df.columns)

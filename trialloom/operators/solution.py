@@ -42,7 +42,11 @@ def score_start(node: DataFrame, start: DataFrame) -> DataFrame:
 
 
 def score_profit(assign: DataFrame, service: DataFrame, team: DataFrame, arc: DataFrame, pair: DataFrame) -> DataFrame:
-    """Margins less fixed team costs and arc costs, as one union of signed amounts."""
+    """Margins less fixed team costs and arc costs, as one union of signed amounts.
+
+    An arc without a pair row and a service without a price have no amount to add;
+    ``audit_sequence`` reports such arcs.
+    """
     margins = assign.join(service.select("m", (F.col("price") - F.col("cost")).alias("amount")), "m")
     fixed = team.select("s", (-F.col("used") * F.col("fixed")).alias("amount"))
     travel = arc.join(pair.select("s", "i", "j", "cost"), ["s", "i", "j"]).select(
@@ -79,13 +83,17 @@ def audit_single(assign: DataFrame, start_depot: int, end_depot: int) -> DataFra
 def audit_inventory(assign: DataFrame, usage: DataFrame, inventory: DataFrame) -> DataFrame:
     """Products of an instance used beyond their stock.
 
-    Services are counted per instance before they meet the usage table.
+    Services are counted per instance before they meet the usage table, to which each product's
+    stock is attached, so the sums don't move again to the few products.
     """
     chosen = assign.groupBy("s", "m").agg(F.count(F.lit(1)).alias("n"))
+    stocked = usage.join(inventory, "p")
     used = (
-        chosen.join(usage, "m").groupBy("s", "p").agg(F.sum(F.col("n") * F.col("units")).alias("used_units"))
+        chosen.join(stocked, "m")
+        .groupBy("s", "p", "cap")
+        .agg(F.sum(F.col("n") * F.col("units")).alias("used_units"))
     )
-    return used.join(inventory, "p").where(F.col("used_units") > F.col("cap"))
+    return used.where(F.col("used_units") > F.col("cap")).select("p", "s", "used_units", "cap")
 
 
 def audit_duration(team: DataFrame, start: DataFrame, end_depot: int) -> DataFrame:
@@ -132,27 +140,31 @@ def _at(df: DataFrame, end: str, **columns: str) -> DataFrame:
 def audit_sequence(
     arc: DataFrame, start: DataFrame, assign: DataFrame, service: DataFrame, pair: DataFrame
 ) -> DataFrame:
-    """Arcs whose end starts before the team can be there."""
+    """Arcs whose end starts before the team can be there, or for which that can't be told.
+
+    An arc with no start at either end, or with no travel time, has nulls where they are missing.
+    """
     leave = start.select("s", "k", "i", F.col("start").alias("leave"))
     reach = start.select("s", "k", F.col("i").alias("j"), F.col("start").alias("begin"))
     timed = (
-        arc.join(leave, ["s", "k", "i"])
-        .join(reach, ["s", "k", "j"])
-        .join(pair.select("s", "i", "j", "transfer"), ["s", "i", "j"])
+        arc.join(leave, ["s", "k", "i"], "left")
+        .join(reach, ["s", "k", "j"], "left")
+        .join(pair.select("s", "i", "j", "transfer"), ["s", "i", "j"], "left")
         .join(_service_time(assign, service), ["s", "i"], "left")
     )
     ready = F.col("leave") + F.col("transfer") + F.coalesce("time", F.lit(0))
-    return timed.withColumn("ready", ready).where(F.col("ready") > F.col("begin")).select(
+    late = F.coalesce(F.col("ready") > F.col("begin"), F.lit(True))
+    return timed.withColumn("ready", ready).where(late).select(
         "s", "k", "i", "j", "ready", "begin"
     )
 
 
 def audit_window(visit: DataFrame, node: DataFrame, start: DataFrame) -> DataFrame:
-    """Visited customers that start outside their time window."""
+    """Visited customers that start outside their time window, or have no start at all."""
     return (
-        visit.join(start, ["s", "k", "i"])
+        visit.join(start, ["s", "k", "i"], "left")
         .join(node.select("s", "i", "early", "late"), ["s", "i"])
-        .where(~F.col("start").between(F.col("early"), F.col("late")))
+        .where(F.coalesce(~F.col("start").between(F.col("early"), F.col("late")), F.lit(True)))
         .select("s", "k", "i", "start", "early", "late")
     )
 
@@ -252,18 +264,20 @@ def audit_late_arcs(
     """Customer arcs that arrive after the latest start, by actual and by earliest departure.
 
     ``late_by_start`` uses the actual start and service, ``late_by_window`` the earliest
-    start with the shortest of all services.
+    start with the shortest of all services. An arc for which that can't be told, as a start
+    or a travel time is missing, counts as late.
     """
     shortest = service.agg(F.min("time")).scalar()
     timed = (
-        arc.join(start.select("s", "k", "i", "start"), ["s", "k", "i"])
+        arc.join(start.select("s", "k", "i", "start"), ["s", "k", "i"], "left")
         .join(_at(node, "i", early="early"), ["s", "i"])
         .join(_at(node, "j", late="late"), ["s", "j"])
-        .join(pair.select("s", "i", "j", "transfer"), ["s", "i", "j"])
+        .join(pair.select("s", "i", "j", "transfer"), ["s", "i", "j"], "left")
         .join(_service_time(assign, service), ["s", "i"], "left")
     )
     by_start = F.col("start") + F.coalesce("time", F.lit(0)) + F.col("transfer") > F.col("late")
     by_window = F.col("early") + shortest + F.col("transfer") > F.col("late")
+    by_start, by_window = F.coalesce(by_start, F.lit(True)), F.coalesce(by_window, F.lit(True))
     return (
         timed.select(
             "s", "k", "i", "j", by_start.cast("int").alias("late_by_start"), by_window.cast("int").alias("late_by_window")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialloom.functions.joining import salted_join
 from trialloom.functions.numeric import pearson_sql
 from trialloom.functions.ordering import rank_within, summarise
 from trialloom.operators.clean import BUNDLE, INSTANCE, TARGET
@@ -19,29 +20,29 @@ TRUE, PRED = "true_runtime", "pred_runtime"
 def bundle_mean_predictions(split: DataFrame) -> DataFrame:
     """A model-free predictor: the bundle's mean over the training side, for all rows."""
     means = split.where(F.col("split") == "train").groupBy(BUNDLE).agg(F.avg(TARGET).alias(PRED))
-    return split.join(means, BUNDLE, "left").withColumn(TRUE, F.col(TARGET))
+    return salted_join(split, means, [BUNDLE], "left", INSTANCE).withColumn(TRUE, F.col(TARGET))
 
 
-def with_average_ranks(df: DataFrame, *, max_group_rows: int | None = None) -> DataFrame:
+def with_average_ranks(df: DataFrame, *, small_groups: bool = False) -> DataFrame:
     """Tie-averaged ranks of true and predicted measure inside each instance."""
     ranked = rank_within(
-        df, [INSTANCE], TRUE, name="true_rank", method="average", max_group_rows=max_group_rows
+        df, [INSTANCE], TRUE, name="true_rank", method="average", small_groups=small_groups
     )
     return rank_within(
-        ranked, [INSTANCE], PRED, name="pred_rank", method="average", max_group_rows=max_group_rows
+        ranked, [INSTANCE], PRED, name="pred_rank", method="average", small_groups=small_groups
     )
 
 
-def spearman_by_group(df: DataFrame, *, max_group_rows: int | None = None) -> DataFrame:
+def spearman_by_group(df: DataFrame, *, small_groups: bool = False) -> DataFrame:
     """Rank correlation per instance, null where either side is constant."""
-    ranked = with_average_ranks(df, max_group_rows=max_group_rows)
+    ranked = with_average_ranks(df, small_groups=small_groups)
     return ranked.groupBy(INSTANCE).agg(F.expr(pearson_sql("true_rank", "pred_rank")).alias("spearman"))
 
 
-def with_predicted_place(df: DataFrame, *, max_group_rows: int | None = None) -> DataFrame:
+def with_predicted_place(df: DataFrame, *, small_groups: bool = False) -> DataFrame:
     """Row's place in predicted order, ties to the smaller bundle."""
     return rank_within(
-        df, [INSTANCE], PRED, name="pred_place", method="first", ties=[BUNDLE], max_group_rows=max_group_rows
+        df, [INSTANCE], PRED, name="pred_place", method="first", ties=[BUNDLE], small_groups=small_groups
     )
 
 
@@ -50,10 +51,10 @@ def _hits(topk: Sequence[int]) -> dict[str, Column]:
 
 
 def topk_hits(
-    df: DataFrame, topk: Sequence[int] = TOPK, *, max_group_rows: int | None = None
+    df: DataFrame, topk: Sequence[int] = TOPK, *, small_groups: bool = False
 ) -> DataFrame:
     """Whether the truly best bundle is among the first k predicted."""
-    placed = with_predicted_place(df, max_group_rows=max_group_rows)
+    placed = with_predicted_place(df, small_groups=small_groups)
     best = placed.groupBy(INSTANCE).agg(best_of("pred_place", TRUE).alias("best_place"))
     return best.withColumns(_hits(topk)).drop("best_place")
 
@@ -63,7 +64,7 @@ def task_cases(
     topk: Sequence[int] = TOPK,
     *,
     by: Sequence[str] = (),
-    max_group_rows: int | None = None,
+    small_groups: bool = False,
 ) -> DataFrame:
     """Per instance: sizes, true best, what the prediction picks, regret, hits, Spearman.
 
@@ -71,10 +72,10 @@ def task_cases(
     ``by`` names further columns that separate runs, such as the model.
     """
     keys = [*by, INSTANCE]
-    rows = rank_within(df, keys, TRUE, name="true_rank", method="average", max_group_rows=max_group_rows)
-    rows = rank_within(rows, keys, PRED, name="pred_rank", method="average", max_group_rows=max_group_rows)
+    rows = rank_within(df, keys, TRUE, name="true_rank", method="average", small_groups=small_groups)
+    rows = rank_within(rows, keys, PRED, name="pred_rank", method="average", small_groups=small_groups)
     rows = rank_within(
-        rows, keys, PRED, name="pred_place", method="first", ties=[BUNDLE], max_group_rows=max_group_rows
+        rows, keys, PRED, name="pred_place", method="first", ties=[BUNDLE], small_groups=small_groups
     )
     cases = (
         rows.where(F.col(INSTANCE).isNotNull())
@@ -98,7 +99,6 @@ def task_summary(
     topk: Sequence[int] = TOPK,
     *,
     by: Sequence[str] = (),
-    max_rows: int | None = None,
 ) -> DataFrame:
     """Means over the instances; without ``by`` exactly one row, also for no cases."""
     return summarise(
@@ -112,7 +112,6 @@ def task_summary(
             F.max("regret").alias("max_regret"),
         ],
         {"regret": {"median_regret": 0.5}},
-        max_group_rows=max_rows,
     )
 
 

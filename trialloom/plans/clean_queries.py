@@ -218,9 +218,7 @@ _ROW_IDS = """
 
 @query("row_ids", _ROW_IDS)
 def row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = grids.row_ids(
-        testbed.trials(spark, sf_dir), first=101, max_rows=testbed.row_bound(spark, sf_dir)
-    )
+    numbered = grids.row_ids(testbed.trials(spark, sf_dir), first=101)
     return numbered.select("instance_id", "valid_selection", "id")
 
 

@@ -7,20 +7,17 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialloom.columns import STAT_COLUMNS
-from trialloom.functions.bundles import EXPECTED_BUNDLES, with_bits
+from trialloom.columns import HEADERS, MODEL_DROP, STAT_COLUMNS
+from trialloom.functions.bundles import with_bits
 from trialloom.functions.arrays import with_all_stats
-from trialloom.operators import features, models, signal
+from trialloom.operators import clean, features, models, signal
 from trialloom.plans.analysis import analysis_tables
 from trialloom.plans.clean_queries import with_model_size
 from trialloom.plans.ranking_queries import complete_trials, staged_trials
 from trialloom.plans.registry import query, rounded
 from trialloom.plans.sql_views import per_feature
 from trialloom.session import new_path, staged
-from trialloom.sources import sinks, testbed
-
-ROUNDS = 10
-"""Boosting rounds and trees of the registered fits; the library's default is 200."""
+from trialloom.sources import sinks, testbed, trial_log
 
 
 def instance_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +69,7 @@ def signal_to_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def signal_to_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(signal.signal_to_best(model_table(spark, sf_dir), max_group_rows=EXPECTED_BUNDLES))
+    return rounded(signal.signal_to_best(model_table(spark, sf_dir), complete=True))
 
 
 _ENCODED = """
@@ -100,7 +97,7 @@ def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("encode_mixed", _ENCODED)
 def encode_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.encode_mixed(_mixed(spark, sf_dir), max_rows=testbed.row_bound(spark, sf_dir))
+    return signal.encode_mixed(_mixed(spark, sf_dir))
 
 
 @query("encode_mixed_spread", _ENCODED)
@@ -184,7 +181,7 @@ def write_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = staged_trials(spark, sf_dir)
     cells = testbed.cells(spark, sf_dir).drop("customer_num", "service_num", "product_num")
     augmented = staged(with_model_size(clean).join(with_all_stats(cells), "random_seed", "left"), "augmented")
-    tables = analysis_tables(clean, augmented, max_rows=testbed.row_bound(spark, sf_dir))
+    tables = analysis_tables(clean, augmented)
     folder = new_path(spark, "tables")
     sinks.write_tables(tables, folder)
     counts = None
@@ -195,99 +192,236 @@ def write_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts
 
 
-# --- models ------------------------------------------------------------------------------------
+_PRINTED = [c for c, _ in HEADERS] + STAT_COLUMNS + [f"bundle_bit_{i}" for i in range(1, 7)]
 
 
-def training_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    """Model inputs, written once to the shared folder so that fits do not derive them again."""
-    inputs, names = features.model_inputs(
-        model_table(spark, sf_dir).drop("ordinal", "bundle_no"), max_rows=testbed.row_bound(spark, sf_dir)
+@query(
+    "csv_to_inputs",
+    f"""SELECT instance_id, valid_selection, round(full_runtime, 8) AS full_runtime,
+               CAST(customer_num AS DOUBLE) AS customer_num, CAST(bundle_bit_2 AS DOUBLE) AS bundle_bit_2,
+               round(service_time_median, 8) AS service_time_median,
+               CAST({len([c for c in _PRINTED if c not in MODEL_DROP and c != 'full_runtime'])} AS BIGINT) AS features
+        FROM {{model}}""",
+)
+def csv_to_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way: printed 81-column log, cleaning, augmented log as CSV, model inputs."""
+    path, derived = new_path(spark, "printed"), new_path(spark, "derived")
+    sinks.write_csv(testbed.printed_log(spark, sf_dir), path)
+    log = clean.clean_log(trial_log.from_headers(trial_log.scan_trial_log(spark, path)))
+    sinks.write_dataset(trial_log.to_headers(features.augmented(staged(log, "log")), rest=True), derived, as_csv=True)
+    back = trial_log.from_headers(trial_log.scan_trial_log(spark, derived))
+    inputs, names = features.model_inputs(clean.coerce(back, "full_runtime"))
+    return rounded(
+        inputs.select(
+            F.col("meta_instance_id").alias("instance_id"),
+            F.col("meta_valid_selection").alias("valid_selection"),
+            F.col(features.LABEL).alias("full_runtime"),
+            "customer_num",
+            "bundle_bit_2",
+            "service_time_median",
+            F.lit(len(names)).cast("long").alias("features"),
+        )
     )
-    return staged(inputs, "inputs"), names
 
 
-def _fit_query(name: str, learner: str) -> None:
-    @query(name)
+# --- models ------------------------------------------------------------------------------------
+
+
+_FITS: dict[tuple[str, str], tuple[models.Fits, list[str]]] = {}
+
+
+def fits_of(spark: SparkSession, sf_dir: str) -> tuple[models.Fits, list[str]]:
+    """Model inputs and all fits made on them in this application; queries share them.
+
+    Inputs and scores are written tables, so a later query reads what an earlier one fitted.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FITS:
+        inputs, names = features.model_inputs(model_table(spark, sf_dir).drop("ordinal", "bundle_no"))
+        _FITS[key] = models.Fits(staged(inputs, "inputs")), names
+    return _FITS[key]
+
+
+def _scores(spark: SparkSession, sf_dir: str, learner: str) -> DataFrame:
+    """Scores of a registered learner under the holdout by instance, at the full number of rounds."""
+    fits, names = fits_of(spark, sf_dir)
+    return fits.scores(learner, names, models.model_registry()[learner], "group")
+
+
+# Predictions of other libraries can't be repeated in SQL: what is checked is that every held-out
+# row is scored, and within the training range, half its width wider for sums of trees or weights.
+_HELD_OUT = """
+    SELECT instance_id, valid_selection, round(full_runtime, 8) AS true_runtime, true AS plausible
+    FROM {group_split} WHERE split = 'test'"""
+
+
+def _fit_query(name: str, learner: str, slack: float) -> None:
+    @query(name, _HELD_OUT)
     def fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-        inputs, names = training_table(spark, sf_dir)
-        _, _, scored = models.holdout(inputs, names, models.model_registry(ROUNDS)[learner], "group")
-        return scored.where(F.col("split") == "test").select(
-            "instance_id", "valid_selection", "true_runtime", "pred_runtime"
+        scored = _scores(spark, sf_dir, learner)
+        seen = scored.where(F.col("split") == "train")
+        low, high = seen.agg(F.min("true_runtime")).scalar(), seen.agg(F.max("true_runtime")).scalar()
+        wide = slack * (high - low) + F.lit(1e-9)
+        fits_range = F.col("pred_runtime").between(low - wide, high + wide)
+        return rounded(
+            scored.where(F.col("split") == "test").select(
+                "instance_id", "valid_selection", "true_runtime", F.coalesce(fits_range, F.lit(False)).alias("plausible")
+            )
         )
 
 
-for _name, _learner in (
-    ("fit_boosted_a", "boosted_a"),
-    ("fit_boosted_b", "boosted_b"),
-    ("fit_forest", "random_forest"),
-    ("fit_boosted_c", "gradient_boosting"),
-    ("fit_kernel", "kernel"),
-    ("fit_linear", "linear_regression"),
+for _name, _learner, _slack in (
+    ("fit_boosted_a", "boosted_a", 0.5),
+    ("fit_boosted_b", "boosted_b", 0.5),
+    ("fit_forest", "random_forest", 0.0),
+    ("fit_boosted_c", "gradient_boosting", 0.5),
+    ("fit_kernel", "kernel", 0.5),
+    ("fit_linear", "linear_regression", 0.5),
 ):
-    _fit_query(_name, _learner)
+    _fit_query(_name, _learner, _slack)
 
 
-@query("score_holdout")
+@query(
+    "fit_linear_one",
+    """SELECT round(regr_slope(full_runtime, customer_num), 6) AS slope,
+              round(regr_intercept(full_runtime, customer_num), 6) AS intercept
+       FROM {group_split} WHERE split = 'train'""",
+)
+def fit_linear_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The linear learner on one feature, where its weights have a closed form."""
+    fits, _ = fits_of(spark, sf_dir)
+    ready = fits.prepared(["customer_num"], "group")
+    fitted = models.fit(ready, models.model_registry()["linear_regression"]).stages[-1]
+    row = (float(fitted.coefficients[0]), float(fitted.intercept))
+    return rounded(spark.createDataFrame([row], "slope double, intercept double"), 6)
+
+
+@query(
+    "score_holdout",
+    """SELECT scale_phase, scale_stage, size_signature, random_seed, instance_id, valid_selection, split,
+              round(full_runtime, 8) AS true_runtime
+       FROM {group_split} WHERE split = 'test'""",
+)
 def score_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test-side predictions with all keys of the row."""
-    inputs, names = training_table(spark, sf_dir)
-    _, _, scored = models.holdout(inputs, names, models.model_registry(ROUNDS)["linear_regression"], "group")
-    return scored.where(F.col("split") == "test")
+    """Test-side rows that got a prediction, with all keys of the row."""
+    scored = _scores(spark, sf_dir, "linear_regression").where("split = 'test' and pred_runtime is not null")
+    keys = "scale_phase scale_stage size_signature random_seed instance_id valid_selection split true_runtime"
+    return rounded(scored.select(*keys.split()))
 
 
 @query("feature_importance")
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inputs, names = training_table(spark, sf_dir)
-    model, prepared, _ = models.holdout(inputs, names, models.model_registry(ROUNDS)["boosted_a"], "group")
-    return models.feature_importance(model, prepared.features)
+    fits, names = fits_of(spark, sf_dir)
+    return fits.importances("boosted_a", names, models.model_registry()["boosted_a"])
+
+
+@query(
+    "importance_rules",
+    """SELECT 'one_row_per_feature' AS rule, true AS holds UNION ALL SELECT 'no_negative_value', true
+       UNION ALL SELECT 'more_gain_ranks_before', true UNION ALL SELECT 'ranks_without_gaps', true
+       UNION ALL SELECT 'some_feature_used', true""",
+)
+def importance_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold for the importances of any boosted model."""
+    _, names = fits_of(spark, sf_dir)
+    table = feature_importance(spark, sf_dir)
+    by_gain = table.groupBy("gain_rank").agg(F.min("gain_importance").alias("low"), F.max("gain_importance").alias("high"))
+    ranks = by_gain.agg(
+        F.max("gain_rank").alias("last"), F.count("*").alias("n"), F.count_if("low != high").alias("mixed"),
+        F.expr("array_sort(collect_list(struct(gain_rank, low)))").alias("steps"),
+    )
+    falling = "forall(sequence(2, size(steps)), i -> steps[i - 2].low > steps[i - 1].low)"
+    facts = table.agg(
+        F.expr(f"count(*) = {len(names)} and count(distinct feature) = {len(names)}").alias("one_row_per_feature"),
+        F.expr("min(gain_importance) >= 0 and min(split_importance) >= 0").alias("no_negative_value"),
+        F.expr("max(split_importance) > 0").alias("some_feature_used"),
+    )
+    order = ranks.selectExpr(
+        f"mixed = 0 and (size(steps) < 2 or {falling}) as more_gain_ranks_before", "last = n as ranks_without_gaps"
+    )
+    return facts.unpivot([], facts.columns, "rule", "holds").unionAll(order.unpivot([], order.columns, "rule", "holds"))
 
 
 def _sweep(spark: SparkSession, sf_dir: str) -> models.Sweep:
-    inputs, names = training_table(spark, sf_dir)
-    return models.model_sweep(
-        inputs,
-        names,
-        registry=models.model_registry(ROUNDS),
-        max_group_rows=EXPECTED_BUNDLES,
-        max_rows=testbed.row_bound(spark, sf_dir),
+    fits, names = fits_of(spark, sf_dir)
+    return models.model_sweep(fits.inputs, names, complete=True, fits=fits)
+
+
+def _ablation(spark: SparkSession, sf_dir: str) -> models.Sweep:
+    fits, names = fits_of(spark, sf_dir)
+    return models.ablation_sweep(fits.inputs, names, complete=True, fits=fits)
+
+
+def _checked(summary: DataFrame, *more: str) -> DataFrame:
+    """Of each model: how many of its sixteen metrics there are, and whether they agree."""
+    sides = ("train", "test", "group_train", "group_test")
+    metrics = [f"{s}_{m}" for s in sides for m in ("mse", "rmse", "mae", "r2")]
+    there = " + ".join(f"if({m} is null or isnan({m}), 0L, 1L)" for m in metrics)
+    agree = " and ".join(
+        f"abs({s}_rmse * {s}_rmse - {s}_mse) <= 1e-6 * {s}_mse + 1e-9 and {s}_mae <= {s}_rmse + 1e-9 and {s}_r2 <= 1" for s in sides
     )
+    return summary.selectExpr("model", *more, f"{there} as metrics", f"coalesce({agree}, false) as consistent")
 
 
-@query("model_sweep")
+_MODELS = ", ".join(f"('{m}')" for m in models.model_registry())
+_SCHEMES = ("split_manual", models.SPLIT_SELECTION_DROP), ("gain_manual", models.GAIN_SELECTION_DROP)
+
+
+@query("model_sweep", f"SELECT model, CAST(16 AS BIGINT) AS metrics, true AS consistent FROM (VALUES {_MODELS}) m(model)")
 def model_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(_sweep(spark, sf_dir).summary)
+
+
+@query("model_sweep_summary")
+def model_sweep_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics themselves."""
     return _sweep(spark, sf_dir).summary
 
 
-@query("ablation_sweep")
+@query(
+    "ablation_sweep",
+    """SELECT model, CAST(16 AS BIGINT) AS metrics, true AS consistent
+       FROM (VALUES ('split_manual'), ('gain_manual')) m(model)""",
+)
 def ablation_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inputs, names = training_table(spark, sf_dir)
-    return models.ablation_sweep(
-        inputs,
-        names,
-        rounds=ROUNDS,
-        max_group_rows=EXPECTED_BUNDLES,
-        max_rows=testbed.row_bound(spark, sf_dir),
-    ).summary
+    return _checked(_ablation(spark, sf_dir).summary)
+
+
+@query("ablation_sweep_summary")
+def ablation_sweep_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics themselves, with the number of features that were removed."""
+    return _ablation(spark, sf_dir).summary
+
+
+_EVALUATED = [*models.model_registry(), *(name for name, _ in _SCHEMES)]
 
 
-@query("write_eval")
+@query(
+    "write_eval",
+    f"""SELECT "table", model, CAST(1 AS BIGINT) AS n
+        FROM (VALUES {', '.join(f"('{m}')" for m in _EVALUATED)}) m(model), (VALUES ('summary'), ('task_summary')) t("table")
+        UNION ALL SELECT 'cases', model, n FROM (VALUES {', '.join(f"('{m}')" for m in _EVALUATED)}) m(model),
+          (SELECT count(DISTINCT instance_id) AS n FROM ({_HELD_OUT}) h) tested
+        UNION ALL SELECT 'errors', 'none', 0""",
+)
 def write_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summaries, cases and importances of a sweep by model, counted from the files."""
-    inputs, names = training_table(spark, sf_dir)
-    registry = {k: v for k, v in models.model_registry(ROUNDS).items() if k in ("boosted_a", "linear_regression")}
-    sweep = models.model_sweep(
-        inputs,
-        names,
-        registry=registry,
-        max_group_rows=EXPECTED_BUNDLES,
-        max_rows=testbed.row_bound(spark, sf_dir),
-    )
+    """Tables of both sweeps written by model, and their rows counted from the files."""
     folder = new_path(spark, "evaluation")
-    counts = None
-    for name in ("summary", "task_summary", "cases", "importances"):
-        path = os.path.join(folder, name)
-        sinks.write_by_model(getattr(sweep, name), path)
-        back = spark.read.parquet(path).groupBy("model").agg(F.count(F.lit(1)).alias("n"))
-        row = back.select(F.lit(name).alias("table"), "model", "n")
-        counts = row if counts is None else counts.unionByName(row)
-    return counts
+    counts = []
+    for half, sweep in (("models", _sweep(spark, sf_dir)), ("ablation", _ablation(spark, sf_dir))):
+        for name in ("summary", "task_summary", "cases", "importances", "errors"):
+            path = os.path.join(folder, half, name)
+            table = getattr(sweep, name)
+            if name == "errors":
+                sinks.write_dataset(table, path)
+                counts.append(spark.read.parquet(path).selectExpr("'errors' as table", "'none' as model", "0L as m"))
+                counts[-1] = counts[-1].unionAll(spark.range(1).selectExpr("'errors'", "'none'", "0L"))
+                continue
+            sinks.write_by_model(table, path)
+            if name != "importances":
+                counts.append(spark.read.parquet(path).selectExpr(f"'{name}' as table", "model", "1L as m"))
+    rows = counts[0]
+    for other in counts[1:]:
+        rows = rows.unionAll(other)
+    # the errors table has no rows of its own; the row added for it counts as nothing
+    return rows.groupBy("table", "model").agg(F.sum("m").alias("n"))

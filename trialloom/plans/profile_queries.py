@@ -24,21 +24,21 @@ def _pack(by: str, view: str) -> str:
 @query("measure_summary", _pack("", "{tl}"))
 def measure_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(
-        profile.measure_summary(testbed.trials(spark, sf_dir), max_rows=testbed.row_bound(spark, sf_dir))
+        profile.measure_summary(testbed.trials(spark, sf_dir))
     )
 
 
 @query("summary_by_stage", _pack("scale_phase, scale_stage", "{tl}"))
 def summary_by_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(
-        profile.summary_by_stage(testbed.trials(spark, sf_dir), max_rows=testbed.row_bound(spark, sf_dir))
+        profile.summary_by_stage(testbed.trials(spark, sf_dir))
     )
 
 
 @query("summary_by_signature", _pack("size_signature", "{tl}"))
 def summary_by_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(
-        profile.summary_by_signature(testbed.trials(spark, sf_dir), max_rows=testbed.row_bound(spark, sf_dir))
+        profile.summary_by_signature(testbed.trials(spark, sf_dir))
     )
 
 

@@ -33,11 +33,7 @@ def staged_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bundle_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(
-        leaderboard.bundle_leaderboard(
-            complete_trials(spark, sf_dir),
-            max_rows=testbed.row_bound(spark, sf_dir),
-            max_instance_rows=EXPECTED_BUNDLES,
-        )
+        leaderboard.bundle_leaderboard(complete_trials(spark, sf_dir), complete=True)
     )
 
 
@@ -50,11 +46,7 @@ def bundle_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bundle_by_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(
-        leaderboard.bundle_by_stage(
-            complete_trials(spark, sf_dir),
-            max_rows=testbed.row_bound(spark, sf_dir),
-            max_instance_rows=EXPECTED_BUNDLES,
-        )
+        leaderboard.bundle_by_stage(complete_trials(spark, sf_dir), complete=True)
     )
 
 
@@ -93,7 +85,7 @@ def bit_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ACTIVE = """((bundle_no >> 5) & 1) + ((bundle_no >> 4) & 1) + ((bundle_no >> 3) & 1) AS root_active_count,
-       ((bundle_no >> 2) & 1) + ((bundle_no >> 1) & 1) + (bundle_no & 1) AS later_active_count"""
+       ((bundle_no >> 2) & 1) + ((bundle_no >> 1) & 1) + (bundle_no & 1) AS nonroot_active_count"""
 
 
 @query(
@@ -112,7 +104,7 @@ def active_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
                    round(avg(full_runtime) FILTER (WHERE (bundle_no >> {6 - i}) & 1 = 1), 8) AS runtime_when_1,
                    round(avg(full_runtime) FILTER (WHERE (bundle_no >> {6 - i}) & 1 = 1)
                          - avg(full_runtime) FILTER (WHERE (bundle_no >> {6 - i}) & 1 = 0), 8) AS delta_1_minus_0,
-                   NULL AS root_active_count, NULL AS later_active_count, NULL AS avg_runtime
+                   NULL AS root_active_count, NULL AS nonroot_active_count, NULL AS avg_runtime
             FROM {{complete}}"""
         for i in range(1, 7)
     )
@@ -157,7 +149,7 @@ def instance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def instance_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = instances.instance_summary(clean.above_minimum(testbed.trials(spark, sf_dir)))
-    return rounded(instances.instance_overview(summary, max_rows=testbed.row_bound(spark, sf_dir)))
+    return rounded(instances.instance_overview(summary))
 
 
 @query(
@@ -195,7 +187,6 @@ def rank_in_group(spark: SparkSession, sf_dir: str) -> DataFrame:
         ["instance_id"],
         "full_runtime",
         name="rank_in_instance",
-        max_group_rows=testbed.row_bound(spark, sf_dir),
     )
     return ranked.select("instance_id", "valid_selection", F.col("rank_in_instance").cast("long"))
 
@@ -218,7 +209,7 @@ def argmin_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "dense_rank_desc",
-    """SELECT instance_id, bundle_count, CAST(dense_rank() OVER (ORDER BY bundle_count DESC) AS INTEGER) AS size_rank
+    """SELECT instance_id, bundle_count, dense_rank() OVER (ORDER BY bundle_count DESC) AS size_rank
        FROM {instances}""",
 )
 def dense_rank_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +224,6 @@ def dense_rank_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
         name="size_rank",
         method="dense",
         ascending=False,
-        max_group_rows=testbed.row_bound(spark, sf_dir),
     )
 
 
@@ -278,7 +268,7 @@ def mixed_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten bundles at the head of the leaderboard."""
-    standing = leaderboard.with_standing(complete_trials(spark, sf_dir), max_group_rows=EXPECTED_BUNDLES)
+    standing = leaderboard.with_standing(complete_trials(spark, sf_dir), complete=True)
     wins = standing.groupBy("valid_selection").agg(
         F.sum("is_instance_best").alias("win_count"), F.avg("full_runtime").alias("avg_runtime")
     )
@@ -401,7 +391,7 @@ def standard_policy_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def policy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = policies.standard_cases(staged_trials(spark, sf_dir))
-    return rounded(policies.policy_summary(cases, max_rows=testbed.row_bound(spark, sf_dir)))
+    return rounded(policies.policy_summary(cases))
 
 
 # --- task metrics ---------------------------------------------------------------------------
@@ -422,7 +412,7 @@ _AVERAGE = """SELECT instance_id, valid_selection, round(true_rank, 8) AS true_r
 
 @query("average_rank", _AVERAGE)
 def average_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = tasks.with_average_ranks(held_out(spark, sf_dir), max_group_rows=EXPECTED_BUNDLES)
+    ranked = tasks.with_average_ranks(held_out(spark, sf_dir), small_groups=True)
     return rounded(ranked.select("instance_id", "valid_selection", "true_rank", "pred_rank"))
 
 
@@ -440,12 +430,12 @@ def average_rank_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
               CASE WHEN best_place <= 5 THEN 1 ELSE 0 END AS top5_hit FROM {cases}""",
 )
 def topk_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tasks.topk_hits(held_out(spark, sf_dir), max_group_rows=EXPECTED_BUNDLES)
+    return tasks.topk_hits(held_out(spark, sf_dir), small_groups=True)
 
 
 @query("spearman_by_group", "SELECT instance_id, round(spearman, 8) AS spearman FROM {cases}")
 def spearman_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(tasks.spearman_by_group(held_out(spark, sf_dir), max_group_rows=EXPECTED_BUNDLES))
+    return rounded(tasks.spearman_by_group(held_out(spark, sf_dir), small_groups=True))
 
 
 @query(
@@ -458,7 +448,7 @@ def spearman_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
               CASE WHEN best_place <= 5 THEN 1 ELSE 0 END AS top5_hit FROM {cases}""",
 )
 def task_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(tasks.task_cases(held_out(spark, sf_dir), max_group_rows=EXPECTED_BUNDLES))
+    return rounded(tasks.task_cases(held_out(spark, sf_dir), small_groups=True))
 
 
 @query(
@@ -472,8 +462,8 @@ def task_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
               round(quantile_cont(pred_selected_runtime - true_best_runtime, 0.5), 8) AS median_regret FROM {cases}""",
 )
 def task_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = tasks.task_cases(held_out(spark, sf_dir), max_group_rows=EXPECTED_BUNDLES)
-    return rounded(tasks.task_summary(cases, max_rows=testbed.row_bound(spark, sf_dir)))
+    cases = tasks.task_cases(held_out(spark, sf_dir), small_groups=True)
+    return rounded(tasks.task_summary(cases))
 
 
 _METRICS = {

@@ -151,7 +151,7 @@ def audit_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "audit_sequence",
     """SELECT s, k, i, j, CAST(leave + transfer + time AS BIGINT) AS ready, begin FROM {timed}
-       WHERE leave + transfer + time > begin""",
+       WHERE coalesce(leave + transfer + time > begin, true)""",
 )
 def audit_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Decisions(spark, sf_dir)
@@ -160,7 +160,10 @@ def audit_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "audit_window",
-    "SELECT s, k, i, start, early, late FROM {node} WHERE start < early OR start > late",
+    """SELECT v.s, v.k, v.i, b.start, early, late
+       FROM {visit} v JOIN {node} n ON n.s = v.s AND n.i = v.i
+       LEFT JOIN {begun} b ON b.s = v.s AND b.k = v.k AND b.i = v.i
+       WHERE b.start IS NULL OR b.start < early OR b.start > late""",
 )
 def audit_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Decisions(spark, sf_dir)
@@ -171,18 +174,18 @@ def audit_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     "audit_linking",
     """SELECT s, rule, count(*) AS violations FROM (
          SELECT coalesce(v.s, a.s) AS s, 'visits_equal_services' AS rule
-         FROM (SELECT s, i, count(*) AS n FROM {node} GROUP BY 1, 2) v
+         FROM (SELECT s, i, count(*) AS n FROM {visit} GROUP BY 1, 2) v
          FULL JOIN (SELECT s, i, count(*) AS n FROM {assign} GROUP BY 1, 2) a ON a.s = v.s AND a.i = v.i
          WHERE coalesce(v.n, 0) <> coalesce(a.n, 0)
          UNION ALL
          SELECT coalesce(v.s, a.s), 'visits_equal_arrivals'
-         FROM (SELECT s, i, k, count(*) AS n FROM {node} GROUP BY 1, 2, 3) v
+         FROM (SELECT s, i, k, count(*) AS n FROM {visit} GROUP BY 1, 2, 3) v
          FULL JOIN (SELECT s, j AS i, k, count(*) AS n FROM {arc} WHERE j < 7 GROUP BY 1, 2, 3) a
            ON a.s = v.s AND a.i = v.i AND a.k = v.k
          WHERE coalesce(v.n, 0) <> coalesce(a.n, 0)
          UNION ALL SELECT s, 'no_loop_or_depot_arc' FROM {arc} WHERE i = j OR (i >= 7 AND j >= 7)
          UNION ALL SELECT t.s, 'used_when_visiting' FROM {team} t
-         LEFT JOIN (SELECT DISTINCT s, k FROM {node}) n ON n.s = t.s AND n.k = t.k
+         LEFT JOIN (SELECT DISTINCT s, k FROM {visit}) n ON n.s = t.s AND n.k = t.k
          WHERE t.used <> CASE WHEN n.s IS NULL THEN 0 ELSE 1 END
          UNION ALL SELECT s, 'start_depot_at_zero' FROM {begun} WHERE i = 7 GROUP BY 1 HAVING sum(start) <> 0) x
        GROUP BY 1, 2""",
@@ -194,8 +197,10 @@ def audit_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "served_summary",
-    """SELECT n.s, n.c AS served_customers, CAST(0 AS BIGINT) AS unserved_customers, t.u AS used_teams, t.x AS idle_teams
+    """SELECT n.s, coalesce(v.c, 0) AS served_customers, n.c - coalesce(v.c, 0) AS unserved_customers,
+              t.u AS used_teams, t.x AS idle_teams
        FROM (SELECT s, count(DISTINCT i) AS c FROM {node} GROUP BY 1) n
+       LEFT JOIN (SELECT s, count(DISTINCT i) AS c FROM {visit} GROUP BY 1) v USING (s)
        JOIN (SELECT s, count(*) FILTER (WHERE used = 1) AS u, count(*) FILTER (WHERE used = 0) AS x
              FROM {team} GROUP BY 1) t USING (s)""",
 )
@@ -216,7 +221,7 @@ def audit_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "audit_late_arcs",
     """SELECT s, k, i, j, by_start AS late_by_start, by_window AS late_by_window FROM (
-         SELECT t.s, t.k, t.i, t.j, CASE WHEN leave + time + transfer > b.late THEN 1 ELSE 0 END AS by_start,
+         SELECT t.s, t.k, t.i, t.j, CASE WHEN coalesce(leave + time + transfer > b.late, true) THEN 1 ELSE 0 END AS by_start,
                 CASE WHEN a.early + (SELECT min(time) FROM {service}) + transfer > b.late THEN 1 ELSE 0 END AS by_window
          FROM {timed} t JOIN {node} a ON a.s = t.s AND a.i = t.i JOIN {node} b ON b.s = t.s AND b.i = t.j) x
        WHERE by_start = 1 OR by_window = 1""",

@@ -150,6 +150,7 @@ VIEWS["cells"] = f"""
            {_vector(45, 50)} AS late_start, {_matrix(6)} AS utility, {_matrix(8)} AS Ser_Pro_corr,
            {_matrix(8)} AS transfer_matrix, {_matrix(8)} AS VariableCost
     FROM {{ints}}"""
+#: Fixed value: the pattern of a printed number.
 NUMBER = r"[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?"
 
 
@@ -220,14 +221,16 @@ VIEWS["arc"] = """
     SELECT s, k, 7 AS i, i AS j FROM {route} WHERE prev IS NULL
     UNION ALL SELECT s, k, i, next FROM {route} WHERE next IS NOT NULL
     UNION ALL SELECT s, k, i, 8 FROM {route} WHERE next IS NULL AND s % 10 <> 0
-    UNION ALL SELECT s, k, next, i FROM {route} WHERE next IS NOT NULL AND s % 10 = 0"""
+    UNION ALL SELECT s, k, next, i FROM {route} WHERE next IS NOT NULL AND s % 10 = 0
+    UNION ALL SELECT s, k, i, i FROM {route} WHERE prev IS NULL AND s % 23 = 0"""
+VIEWS["visit"] = "SELECT s, i, k FROM {node} WHERE NOT (s % 31 = 0 AND i = 1)"
 VIEWS["team"] = """
-    SELECT t.s, t.k, CASE WHEN n.s IS NULL THEN 0 ELSE 1 END AS used, 191 AS duration, 2.5::DOUBLE AS fixed
+    SELECT t.s, t.k, CASE WHEN n.s IS NULL AND NOT (t.s % 19 = 0 AND t.k = 3) THEN 0 ELSE 1 END AS used, 191 AS duration, 2.5::DOUBLE AS fixed
     FROM (SELECT s, CAST(k AS INTEGER) AS k FROM (SELECT DISTINCT s FROM {node}) x, range(4) r(k)) t
     LEFT JOIN (SELECT DISTINCT s, k FROM {node}) n ON n.s = t.s AND n.k = t.k"""
 VIEWS["begun"] = """
-    SELECT s, k, i, start FROM {node}
-    UNION ALL SELECT DISTINCT s, k, 7, 0 FROM {node}
+    SELECT s, k, i, start FROM {node} WHERE NOT (s % 17 = 0 AND i = 2)
+    UNION ALL SELECT DISTINCT s, k, 7, CASE WHEN s % 29 = 0 THEN 3 ELSE 0 END FROM {node}
     UNION ALL SELECT n.s, n.k, 8, 1 + max(n.start + v.time) FROM {node} n JOIN {service} v USING (m) GROUP BY 1, 2"""
 
 
@@ -240,11 +243,13 @@ VIEWS["served_time"] = """
 VIEWS["timed"] = f"""
     SELECT a.s, a.k, a.i, a.j, x.start AS leave, y.start AS begin, {travel('a.i', 'a.j')} AS transfer,
            coalesce(v.time, 0) AS time
-    FROM {{arc}} a JOIN {{begun}} x ON x.s = a.s AND x.k = a.k AND x.i = a.i
+    FROM {{arc}} a LEFT JOIN {{begun}} x ON x.s = a.s AND x.k = a.k AND x.i = a.i
     LEFT JOIN {{begun}} y ON y.s = a.s AND y.k = a.k AND y.i = a.j
     LEFT JOIN {{served_time}} v ON v.s = a.s AND v.i = a.i"""
 VIEWS["value_part"] = "SELECT s, sum(utility / price * weight) AS x FROM {assign} JOIN {service} USING (m) GROUP BY 1"
-VIEWS["start_part"] = "SELECT s, sum(start * weight) AS x FROM {node} GROUP BY 1"
+VIEWS["start_part"] = (
+    "SELECT b.s, sum(b.start * n.weight) AS x FROM {begun} b JOIN {node} n ON n.s = b.s AND n.i = b.i GROUP BY 1"
+)
 VIEWS["profit_part"] = f"""
     SELECT s, sum(amount) AS x
     FROM (SELECT s, price - cost AS amount FROM {{assign}} JOIN {{service}} USING (m)
@@ -306,5 +311,6 @@ def with_views(sql: str) -> str:
 
     if not found:
         return sql
-    ctes = ",\n".join(f"{name} AS ({plain(VIEWS[name])})" for name in found)
+    # each view runs once, however often it is named
+    ctes = ",\n".join(f"{name} AS MATERIALIZED ({plain(VIEWS[name])})" for name in found)
     return f"WITH {ctes}\n{plain(sql)}"

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir"
     )
     if not configured:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         configured = tempfile.mkdtemp(prefix="trialloom-")
         spark.conf.set("spark.checkpoint.dir", configured)
@@ -43,9 +45,36 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+_written: list[str] = []
+"""Paths handed out by ``new_path`` and not dropped since."""
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """Fresh path inside the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _written.append(path)
+    return path
+
+
+def drop_written(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables written through ``new_path``, the first ``since`` of them kept."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = _written[since:]
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+    del _written[since:]
+    return len(gone)
+
+
+@contextmanager
+def written_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside the block are deleted at its end; use no result of theirs after it."""
+    since = len(_written)
+    try:
+        yield
+    finally:
+        drop_written(spark, since)
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trialloom.columns import HEADERS
 from trialloom.functions import bundles as B
 
 MAX_LINE = 7  # l_linenumber runs from 1 to 7
@@ -23,15 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def row_bound(spark: SparkSession, sf_dir: str, name: str = "lineitem") -> int:
-    """Rows of the base table, read from the Parquet footers.
-
-    The views below never hold more rows than twice their base table, so this bounds
-    every group in them.
-    """
-    return 2 * table(spark, sf_dir, name).count()
-
-
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TL: one row per (supplier as instance, part number mod 64 as bundle)."""
     cells = (
@@ -230,7 +222,8 @@ def arcs(node: DataFrame) -> DataFrame:
     """SOL arc: each team's route through its customers by (start, node), depots at the ends.
 
     A team has at most seven customers, since nodes are unique per line number. Every
-    tenth instance loses its arcs into the end depot and gains reversed customer arcs.
+    tenth instance loses its arcs into the end depot and gains reversed customer arcs; every
+    23rd gains a loop.
     """
     route = Window.partitionBy("s", "k").orderBy("start", "i")
     step = (
@@ -253,6 +246,7 @@ def arcs(node: DataFrame) -> DataFrame:
         arc(i, nxt, nxt.isNotNull()),
         arc(i, F.lit(END_DEPOT), nxt.isNull() & ~faulty),
         arc(nxt, i, nxt.isNotNull() & faulty),
+        arc(i, i, prev.isNull() & (F.col("s") % 23 == 0)),
     )
     return (
         step.select("s", "k", F.explode(F.array_compact(moves)).alias("a"))
@@ -261,34 +255,39 @@ def arcs(node: DataFrame) -> DataFrame:
 
 
 def starts(node: DataFrame, service: DataFrame) -> DataFrame:
-    """SOL start: T(i, k) for the customers and both depots of every used team."""
+    """SOL start: T(i, k) for the customers and both depots of every used team.
+
+    Every 17th instance lacks the start of node 2; in every 29th, teams leave the depot at 3.
+    """
     timed = node.join(service, "m").select("s", "k", "i", "start", "time")
     depots = timed.groupBy("s", "k").agg((1 + F.max(F.col("start") + F.col("time"))).alias("end")).select(
         "s",
         "k",
         F.explode(
             F.array(
-                F.struct(F.lit(START_DEPOT).alias("i"), F.lit(0).alias("start")),
+                F.struct(F.lit(START_DEPOT).alias("i"), F.when(F.col("s") % 29 == 0, 3).otherwise(0).alias("start")),
                 F.struct(F.lit(END_DEPOT).alias("i"), F.col("end").alias("start")),
             )
         ).alias("d"),
     )
-    return node.select("s", "k", "i", "start").unionByName(depots.select("s", "k", "d.i", "d.start"))
+    known = node.where(~((F.col("s") % 17 == 0) & (F.col("i") == 2)))
+    return known.select("s", "k", "i", "start").unionByName(depots.select("s", "k", "d.i", "d.start"))
 
 
 def visits(node: DataFrame) -> DataFrame:
-    """SOL visit: Y(i, k)."""
-    return node.select("s", "i", "k")
+    """SOL visit: Y(i, k); every 31st instance leaves node 1 unserved."""
+    return node.where(~((F.col("s") % 31 == 0) & (F.col("i") == 1))).select("s", "i", "k")
 
 
 def teams(node: DataFrame) -> DataFrame:
-    """SOL team: teams of each instance; the last one is always idle."""
+    """SOL team: teams of each instance; the last one is idle, in every 19th said to be used."""
     used = node.groupBy("s", "k").agg(F.lit(1).alias("used"))
     every = node.select("s").distinct().select(
         "s", F.explode(F.sequence(F.lit(0), F.lit(TEAMS - 1))).alias("k")
     )
+    claimed = F.when((F.col("s") % 19 == 0) & (F.col("k") == TEAMS - 1), 1).otherwise(0)
     return every.join(used, ["s", "k"], "left").select(
-        "s", "k", F.coalesce("used", F.lit(0)).alias("used"), F.lit(191).alias("duration"), F.lit(2.5).alias("fixed")
+        "s", "k", F.coalesce("used", claimed).alias("used"), F.lit(191).alias("duration"), F.lit(2.5).alias("fixed")
     )
 
 
@@ -341,3 +340,17 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("run"), "event_id", "ts", F.col("value").alias("best"), F.lit(200.0).alias("bound")
     )
+
+
+def printed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 81 columns of a trial log as text under their printed headers.
+
+    Trials and their cells give what they have; other numbers are made from the instance's sizes.
+    """
+    known = trials(spark, sf_dir).join(
+        cells(spark, sf_dir).drop("customer_num", "service_num", "product_num"), "random_seed", "left"
+    )
+    filler = {c: f"cast(customer_num * {n} + service_num as string)" for n, (c, _) in enumerate(HEADERS)}
+    return known.selectExpr(
+        *[f"cast({c} as string) as `{h}`" if c in known.columns else f"{filler[c]} as `{h}`" for c, h in HEADERS]
+    )
