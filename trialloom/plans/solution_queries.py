@@ -90,9 +90,10 @@ def score_finish(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "score_total",
-    """SELECT s, round(v.x, 6) AS value_score, CAST(t.x AS DOUBLE) AS start_score, round(p.x, 6) AS profit_score,
-              CAST(f.x AS DOUBLE) AS finish_score, round(v.x - t.x + p.x, 6) AS total_score
-       FROM {value_part} v JOIN {start_part} t USING (s) JOIN {profit_part} p USING (s) JOIN {finish_part} f USING (s)""",
+    """SELECT s, round(v.x, 6) AS value_score, CAST(coalesce(t.x, 0) AS DOUBLE) AS start_score,
+              round(p.x, 6) AS profit_score, CAST(f.x AS DOUBLE) AS finish_score,
+              round(v.x - coalesce(t.x, 0) + p.x, 6) AS total_score
+       FROM {value_part} v LEFT JOIN {start_part} t USING (s) JOIN {profit_part} p USING (s) JOIN {finish_part} f USING (s)""",
 )
 def score_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Decisions(spark, sf_dir)
