@@ -71,3 +71,12 @@ def test_nearest_directory_and_edges(spark):
     root = licenses.scan(spark.createDataFrame([("LICENSE", MIT), ("a/b.txt", prose)], "path string, text string"))
     assert {r.path: (r.license, r.from_dir) for r in root.collect()} == {"LICENSE": ("MIT", None), "a/b.txt": ("MIT", "")}
     assert licenses.scan(files.limit(0)).collect() == []
+
+
+def test_words_outside_templates_weigh_by_their_own_files(spark):
+    text = "Released under the MIT License. en de fr"
+    files = [("a/LICENSE", text)] + [(f"b/{i}", "en de fr") for i in range(200)]
+    got = licenses.scan(spark.createDataFrame(files, "path string, text string")).where("found = 'own'").collect()
+    rare, common = math.log(202 / 2) + 1, 1.0  # the notice's words are in one file, the others in all 201
+    want = round(5 * rare**2 / (math.sqrt(5 * rare**2 + 3 * common**2) * math.sqrt(5 * rare**2)), 6)
+    assert {r.path: (r.license, r.cosine) for r in got} == {"a/LICENSE": ("MIT", pytest.approx(want))}

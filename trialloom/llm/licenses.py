@@ -72,16 +72,14 @@ def scan(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, t
     terms = known.selectExpr("template", "license", f"explode({_words('text')}) as term").groupBy(
         "template", "license", "term"
     ).agg(F.count("*").alias("tf"))
-    vocabulary = terms.select("term").distinct()
-    names = ", ".join(sorted(f"'{r[0]}'" for r in vocabulary.collect()))
     total = files.count()
     never = f"(ln({total}D + 1) + 1)"
-    in_file = f"explode(array_distinct(array_intersect({_words('text')}, array({names})))) as term"
+    in_file = f"explode(array_distinct({_words('text')})) as term"
     counts = files.selectExpr(in_file).groupBy("term").agg(F.count("*").alias("df"))
     rare = staged(counts.selectExpr("term", f"ln(({total}D + 1) / (df + 1)) + 1 as idf"), "idf")
 
     def weighted(rows: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(rare), "term", "left").withColumn("w", F.expr(f"tf * coalesce(idf, {never})")).drop("tf", "idf")
+        return rows.join(rare, "term", "left").withColumn("w", F.expr(f"tf * coalesce(idf, {never})")).drop("tf", "idf")
 
     ideal = weighted(terms)
     lengths = ideal.groupBy("template").agg(F.sqrt(F.sum(F.expr("w * w"))).alias("template_norm"))
