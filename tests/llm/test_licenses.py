@@ -26,8 +26,7 @@ def plain_own(files, threshold=licenses.THRESHOLD):
     n, df = len(files), Counter()
     for _, text in files:
         df.update(set(words(text or "")))
-    vocabulary = {w for _, t in licenses.TEMPLATES for w in words(t)}
-    idf = lambda w: math.log((n + 1) / (df[w] + 1)) + 1 if w in vocabulary else math.log(n + 1) + 1
+    idf = lambda w: math.log((n + 1) / (df[w] + 1)) + 1
     vector = lambda t: {w: c * idf(w) for w, c in Counter(words(t)).items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
     best = {}

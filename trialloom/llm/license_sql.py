@@ -23,7 +23,7 @@ size_of AS MATERIALIZED (SELECT count(*) n FROM files),
 rare AS MATERIALIZED (
   SELECT term, ln((CAST(n AS DOUBLE) + 1) / (count(*) + 1)) + 1 idf
   FROM (SELECT unnest(list_distinct({_words('text')})) term FROM files) JOIN size_of ON true
-  WHERE term IN (SELECT term FROM terms) GROUP BY term, n),
+  GROUP BY term, n),
 ideal AS MATERIALIZED (
   SELECT template, license, term, tf * coalesce(idf, ln(CAST(n AS DOUBLE) + 1) + 1) w
   FROM terms LEFT JOIN rare USING (term) JOIN size_of ON true),

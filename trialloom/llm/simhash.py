@@ -239,37 +239,53 @@ def similar_links(prints: DataFrame, radius: int = RADIUS, tree: int = TREE) ->
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id`` and ``print`` (long) of every row; other columns are not looked at."""
+    """``doc_id``, ``mark`` (hash of the text) and ``print`` (long) of every row."""
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), _fingerprint_column(words)(F.col("text")).alias("print")
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64("text").alias("mark"),
+        _fingerprint_column(words)(F.col("text")).alias("print"),
     )
 
 
+def _grouped(prints: DataFrame, radius: int) -> DataFrame:
+    """``prints`` with the ``component_id`` of each row."""
+    distinct = staged(prints.groupBy("print").agg(F.min("doc_id").alias("node")).where("node is not null"), "distinct")
+    roots = components(similar_links(distinct, radius))
+    groups = distinct.join(roots, "node", "left").selectExpr("print", "coalesce(root, node) as component_id")
+    return prints.join(groups, "print", "left")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """``doc_id``, ``fingerprint`` (hex) and ``component_id`` of every row of ``docs``.
 
     Fingerprints link within ``radius`` bits; ``component_id`` is the smallest doc_id reachable.
     Equal rows get equal results, one for each row. A null or empty text, or one without words,
-    has fingerprint zero and links like any other. A row without doc_id takes the component of
-    its fingerprint and adds no links (null if no row with that fingerprint has a doc_id). Empty
-    tables give empty tables; columns besides doc_id and text are not read.
+    has fingerprint zero and links like any other; a very long text is read in blocks of 4 MB
+    with the same result. A row without doc_id takes the component of its fingerprint and adds no
+    links (null if no row with that fingerprint has a doc_id). Empty tables give empty tables;
+    columns besides doc_id and text are not read.
     """
-    prints = staged(fingerprints(docs, words), "fingerprints")
-    distinct = staged(prints.groupBy("print").agg(F.min("doc_id").alias("node")).where("node is not null"), "distinct")
-    roots = components(similar_links(distinct, radius))
-    groups = distinct.join(roots, "node", "left").selectExpr("print", "coalesce(root, node) as component_id")
-    return prints.join(groups, "print", "left").selectExpr(
+    prints = staged(fingerprints(docs, words).select("doc_id", "print"), "fingerprints")
+    return _grouped(prints, radius).selectExpr(
         "doc_id", "lpad(lower(hex(print)), 16, '0') as fingerprint", "component_id"
     )
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The row of ``docs`` with the smallest doc_id of each group of near duplicates.
+    """One row of ``docs``, the one with the smallest doc_id, of each group of near duplicates.
 
-    Of several rows with that doc_id one stays. Rows without doc_id can't be told apart: all stay.
-    Columns are those of ``docs``.
+    Where several texts of a group share that doc_id, the one with the smallest hash stays, and one
+    of equal rows. Rows without doc_id belong to the group of their fingerprint and stay only
+    where it holds no doc_id at all. Columns are those of ``docs``, whatever their names.
     """
-    groups = near_duplicates(docs, words, radius)
-    dropped = groups.where("component_id != doc_id").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(dropped, "doc_id", "left_anti")
-    return named.dropDuplicates(["doc_id"]).select(docs.columns).unionAll(docs.where(F.col("doc_id").isNull()))
+    prints = staged(fingerprints(docs, words), "fingerprints")
+    groups = _grouped(prints, radius).selectExpr(
+        "component_id", "if(component_id is null, print, null) as unnamed", "struct(doc_id is null, doc_id, mark) as place"
+    )
+    kept = groups.groupBy("component_id", "unnamed").agg(F.min("place").alias("place"))
+    kept = kept.selectExpr("place.doc_id as kept_id", "place.mark as kept_mark")
+    rows = docs.select(
+        F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("mark")
+    )
+    one = rows.join(kept, F.expr("own_id <=> kept_id and mark = kept_mark"), "left_semi")
+    return one.dropDuplicates(["own_id", "mark"]).select("doc.*")
