@@ -7,24 +7,39 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
+#: Fewest and most tasks that the rows of one key are dealt to.
+SALTS, MOST_SALTS = 16, 64
 _SALT = "_salt"
 
 
+def salts_for(df: DataFrame) -> int:
+    """A quarter of the shuffle partitions, within bounds, as ``side`` is repeated for each."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(MOST_SALTS, max(SALTS, partitions // 4))
+
+
 def salted_join(
-    df: DataFrame, side: DataFrame, on: Sequence[str], how: str, spread: str | Column, salts: int = SALTS
+    df: DataFrame,
+    side: DataFrame,
+    on: Sequence[str],
+    how: str,
+    spread: str | Column | None = None,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join ``side`` (few rows for each key) to ``df``, whose keys may be hot.
 
-    Rows of ``df`` are dealt to ``salts`` buckets by a hash of ``spread`` (of the whole row, if there
-    is no such column), ``side`` is repeated for
-    each bucket, and the bucket joins the key, so a hot key goes to as many tasks. ``how`` must not
-    keep unmatched rows of ``side``.
+    Rows of ``df`` are dealt to ``salts`` buckets by a hash of ``spread`` (by default, or if there is
+    no such column, of the whole row), ``side`` is repeated for each bucket, and the bucket joins
+    the key, so a hot key goes to as many tasks. ``how`` must not keep unmatched rows of ``side``.
     """
-    if isinstance(spread, str) and spread not in df.columns:
-        spread = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"can't salt a {how} join")
+    if spread is None or isinstance(spread, str) and spread not in df.columns:
+        spread = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    salts = salts or salts_for(df)
     bucket = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
     copies = side.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return df.withColumn(_SALT, bucket).join(copies, [*on, _SALT], how).drop(_SALT)
+    # a generator, as the optimizer would reason about a plain expression over all columns for
+    # each combination of their old and new names
+    dealt = df.select("*", F.explode_outer(F.array(bucket)).alias(_SALT))
+    return dealt.join(copies, [*on, _SALT], how).drop(_SALT)

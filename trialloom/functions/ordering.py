@@ -15,12 +15,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialloom.session import settle
+from trialloom.session import settle, staged
 
 _GROUP = "_group"
 _PART = "_part"
 _ROWS = "_rows"
 _SALT = "_salt"
+_AT = "_at"
 
 
 def _grouped(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -117,18 +118,43 @@ def rank_within(
     return source.withColumn("_slot", slot).join(ranks, "_slot", "left").select(*df.columns, name)
 
 
-def _numbered(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[Column], name: str) -> DataFrame:
-    """Row numbers: the rows themselves are range-partitioned, so equal rows get different ones."""
+def numbered(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], *, name: str, size: str | None = None, written: bool = False
+) -> DataFrame:
+    """Add the place (0, 1, ...) of each row inside its group, and with ``size`` the group's rows.
+
+    Null keys are equal; equal rows get different places. Rows are range-partitioned by group,
+    order and a salt, sorted once and written with their place in the file, so neither a hot group
+    nor very many equal rows end in one task. The salt is settled before rows are dealt by it: a
+    repeated task deals them the same way. ``written`` says that ``df`` is just read from files,
+    whose rows number themselves alike at every reading.
+    """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    some = _grouped(df, keys).where(F.col(value).isNotNull()).withColumn(_SALT, F.monotonically_increasing_id())
-    placed = some.repartitionByRange(partitions, F.col(_GROUP), *order, F.col(_SALT))
-    # The partition number must not change between its two uses, hence the checkpoint.
-    rows = settle(placed.withColumn(_PART, F.spark_partition_id()))
-    starts = _part_starts(rows.withColumn(_ROWS, F.lit(1)))
-    place = F.row_number().over(Window.partitionBy(_GROUP, _PART).orderBy(*order, _SALT))
-    numbered = rows.withColumn("_place", place).join(starts, [_GROUP, _PART])
-    numbered = numbered.withColumn(name, F.col("_start_rows") + F.col("_place")).select(*df.columns, name)
-    return numbered.unionByName(df.where(F.col(value).isNull()).withColumn(name, F.lit(None).cast("long")))
+    salted = _grouped(df, keys).withColumn(_SALT, F.monotonically_increasing_id())
+    source = salted if written else staged(salted, "salted")
+    by = [F.col(_GROUP), *order, F.col(_SALT)]
+    placed = source.repartitionByRange(partitions, *by).sortWithinPartitions(*by).drop(_SALT)
+    # 33 bits for the row inside its partition, the partition above
+    rows = staged(placed.withColumn(_AT, F.monotonically_increasing_id()), "numbered")
+    rows = rows.withColumn(_PART, F.shiftright(_AT, 33))
+    runs = rows.groupBy(_GROUP, _PART).agg(F.count(F.lit(1)).alias("_n"), F.min(_AT).alias("_first"))
+    # at most one row per partition and group reaches these windows
+    before = Window.partitionBy(_GROUP).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(
+        _GROUP, _PART, "_first",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+        F.sum("_n").over(Window.partitionBy(_GROUP)).alias("_size"),
+    )
+    added = [(F.col("_start") + F.col(_AT) - F.col("_first")).alias(name)]
+    if size:
+        added.append(F.col("_size").alias(size))
+    return rows.join(runs, [_GROUP, _PART]).select(*df.columns, *added)
+
+
+def _numbered(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[Column], name: str) -> DataFrame:
+    """Row numbers from 1 of the rows with a value."""
+    places = numbered(df.where(F.col(value).isNotNull()), keys, order, name=name).withColumn(name, F.col(name) + 1)
+    return places.unionByName(df.where(F.col(value).isNull()).withColumn(name, F.lit(None).cast("long")))
 
 
 def running_total(df: DataFrame, order: str, amount: str, *, name: str) -> DataFrame:

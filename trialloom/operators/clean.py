@@ -21,11 +21,13 @@ INSTANCE_KEYS = ["scale_phase", "scale_stage", "size_signature", "random_seed"]
 def drop_header_rows(df: DataFrame) -> DataFrame:
     """Remove rows in which every cell repeats its own column name.
 
-    The condition names every column. Over a log with renamed columns the optimizer would derive
-    it anew for each combination of old and new names, so it is marked as not to be reasoned about.
+    The rule names every column. As a plain filter over a log with renamed columns the optimizer
+    would derive it anew for each combination of old and new names, so a generator makes it one
+    column first, and the filter names that column alone. Works on streams as well.
     """
     is_header = " and ".join(f"`{c}` <=> '{c}'" for c in df.columns)
-    return df.where(f"not ({is_header}) or monotonically_increasing_id() < 0")
+    marked = df.select("*", F.explode_outer(F.array(F.expr(is_header))).alias("_is_header"))
+    return marked.where("not _is_header").drop("_is_header")
 
 
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:
@@ -66,7 +68,7 @@ def complete_instances(df: DataFrame, expected: int = EXPECTED_BUNDLES) -> DataF
 
 def keep_members(df: DataFrame, members: DataFrame, on: str = INSTANCE) -> DataFrame:
     """Rows whose key is listed; a key with very many rows is spread over tasks."""
-    return salted_join(df, members, [on], "left_semi", BUNDLE)
+    return salted_join(df, members, [on], "left_semi")
 
 
 def keep_complete(df: DataFrame, expected: int = EXPECTED_BUNDLES) -> DataFrame:

@@ -20,7 +20,7 @@ def row_ids(df: DataFrame, *, first: int = 1, complete: bool = False) -> DataFra
     offsets = running_total(sizes, INSTANCE, "_size", name="_offset")
     numbered = rank_within(df, [INSTANCE], BUNDLE, name="_place", method="first", small_groups=complete)
     return (
-        salted_join(numbered, offsets.select(INSTANCE, "_offset"), [INSTANCE], "inner", BUNDLE)
+        salted_join(numbered, offsets.select(INSTANCE, "_offset"), [INSTANCE], "inner")
         .withColumn("id", (F.col("_offset") + F.col("_place") + (first - 1)).cast("long"))
         .drop("_offset", "_place")
     )

@@ -47,7 +47,7 @@ def baseline_lookup(df: DataFrame, baseline: str = BASELINE_BUNDLE) -> DataFrame
         .groupBy(INSTANCE)
         .agg(F.min(TARGET).alias("baseline_runtime"))
     )
-    return salted_join(df, base, [INSTANCE], "left", BUNDLE)
+    return salted_join(df, base, [INSTANCE], "left")
 
 
 def instance_summary(df: DataFrame, baseline: str = BASELINE_BUNDLE) -> DataFrame:

@@ -20,7 +20,7 @@ def with_group_best(df: DataFrame, *, name: str = "best_runtime", complete: bool
     if complete:
         return df.withColumn(name, F.min(TARGET).over(Window.partitionBy(INSTANCE)))
     best = df.groupBy(INSTANCE).agg(F.min(TARGET).alias(name))
-    return salted_join(df, best, [INSTANCE], "left", BUNDLE)
+    return salted_join(df, best, [INSTANCE], "left")
 
 
 def with_standing(df: DataFrame, *, complete: bool = False) -> DataFrame:

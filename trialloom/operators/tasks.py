@@ -20,7 +20,7 @@ TRUE, PRED = "true_runtime", "pred_runtime"
 def bundle_mean_predictions(split: DataFrame) -> DataFrame:
     """A model-free predictor: the bundle's mean over the training side, for all rows."""
     means = split.where(F.col("split") == "train").groupBy(BUNDLE).agg(F.avg(TARGET).alias(PRED))
-    return salted_join(split, means, [BUNDLE], "left", INSTANCE).withColumn(TRUE, F.col(TARGET))
+    return salted_join(split, means, [BUNDLE], "left").withColumn(TRUE, F.col(TARGET))
 
 
 def with_average_ranks(df: DataFrame, *, small_groups: bool = False) -> DataFrame:
