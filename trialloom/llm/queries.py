@@ -3,12 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trialloom.llm import bpe, decontaminate, langid, licenses, packing, quality, sharding, simhash, topk, toxicity
+from trialloom.llm import (
+    bpe,
+    decontaminate,
+    langid,
+    licenses,
+    line_runs,
+    merkle,
+    packing,
+    prefix_trie,
+    quality,
+    sharding,
+    simhash,
+    topk,
+    toxicity,
+)
+from trialloom.llm.corpus_sql import LINES_SQL, MERKLE_SQL, TRIE_SQL
 from trialloom.llm.license_sql import LICENSE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +120,25 @@ def op10_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, 50256)
 
 
+@_query("op11_line_dedup", LINES_SQL)
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.dedup_table(_table(spark, sf_dir, "documents"))
+
+
+@_query("op12_prefix_trie", TRIE_SQL)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix tree of the conversations as rebuilt from the shared beginnings of five."""
+    return prefix_trie.node_table(prefix_trie.rebuilt(_table(spark, sf_dir, "conversations")))
+
+
+@_query("op13_merkle_manifest", MERKLE_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all rows, a third of them claimed with their text's A to Z lower-cased."""
+    lowered = F.translate("text", ascii_uppercase, ascii_lowercase)
+    claimed = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, lowered)
+    return merkle.proof_table(_table(spark, sf_dir, "documents"), claimed)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
