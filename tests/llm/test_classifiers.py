@@ -116,3 +116,22 @@ def test_repeated_words_are_seen():
     assert "= = = =" in quality.ngrams("x y y y y") and "= =" not in quality.ngrams("a b a b")
     model = quality.Model({"a b": (2.0, 1.0)}, 0.0, 1.0, 0.0)
     assert model.score("a b") == pytest.approx(1 / (1 + math.exp(-2 / math.sqrt(5))))
+
+
+def test_ngrams_go_on_across_the_cut_of_a_long_text(monkeypatch):
+    from trialloom.llm import texts
+
+    text = "a b  c\n d d d d e " + " ".join(f"w{i}" for i in range(40))
+    whole = quality.ngrams(text)
+    for size in (1, 3, 5, 8, 13):
+        monkeypatch.setattr(texts, "PIECE", size)
+        assert quality.ngrams(text) == whole
+
+
+def test_sample_is_bounded_in_rows(spark):
+    from trialloom.llm import labelled
+
+    docs = spark.range(2000).selectExpr("id % 4 as doc_id", "concat('text ', id) as text")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int")
+    rows = labelled.sample(docs, labels, "toxic", 5, 9, rows=10).collect()
+    assert len(rows) == 4 and len({r.text for r in rows}) == 4

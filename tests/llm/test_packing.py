@@ -95,3 +95,16 @@ def test_query_is_whole(spark):
     got = whole(QUERIES["op10_packed_ids"](spark, sf))
     _, want = reference_ids(texts.values())
     assert {d: [x for _, p in sorted(s) for x in p] for d, s in got.items()} == dict(zip(texts, want))
+
+
+def test_ids_of_long_texts_do_not_depend_on_the_cut():
+    """Runs of blanks and line ends around every cut, with cuts at any size."""
+    from trialloom.llm import texts
+
+    code, _ = reference_ids([])
+    text = "one  two\n\n three   \n four... \n\nfive " * 3 + "x" * 30 + "  \n " + "tail end"
+    whole = code.encode(text, disallowed_special=())
+    for size in range(1, 40):
+        parts = list(texts.word_pieces(text, size))
+        assert "".join(parts) == text
+        assert [i for p in parts for i in code.encode(p, disallowed_special=())] == whole

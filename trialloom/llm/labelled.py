@@ -28,7 +28,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int, value:
     """``text`` and ``label`` (0 or 1) of at most ``rows`` labelled doc_ids that aren't held out.
 
     Null doc_ids, labels and texts give no example. A doc_id labelled twice counts as 1 if any of
-    its labels is 1. The chosen doc_ids are bounded in number, so they may be broadcast.
+    its labels is 1, one with several texts is the one with the smallest hash. So the rows are
+    bounded, as the chosen doc_ids are, which may be broadcast.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = known.where(F.col("label").isin(0, 1) & (remainder(F.col("doc_id"), divisor) != value))
@@ -39,7 +40,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int, value:
     near = chosen.where(place.cast("double") <= share * float(2**63))
     chosen = staged(near.orderBy(place, "doc_id").limit(rows), "chosen")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    return staged(texts.join(F.broadcast(chosen), "doc_id").select("text", "label"), "sample")
+    known = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label")
+    return staged(known.agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "label"), "sample")
 
 
 def features(text: Column, own: Callable[[str], Iterable[str]]) -> Column:

@@ -1,17 +1,15 @@
 """Repeated lines found through levelled sorted runs of line hashes, in DataFrame and SQL operations only.
 
-An index of lines is a few sorted runs: tables bucketed and sorted by a 128-bit hash of the line's
-key. Documents come in batches from the largest doc_id down. The keys of a batch, one sorted entry
-each, merge-anti-join all runs: what no run holds is new, and the batch's largest doc_id with it is
-the largest of all, so it owns the line. The entries then become a run of their own, and as soon as
-a level has ``FAN`` runs they are merged into one of the next level. Buckets meet buckets, so no run
-is ever shuffled for a join. A last merge of all runs gives how many documents hold each key.
+An index of lines is a few runs: tables sorted by a 128-bit hash of the line's key. Documents come in
+batches from the largest doc_id down. The keys of a batch, one entry each, merge-anti-join the runs:
+what no run holds is new, and the batch's largest doc_id with it is the largest of all, so it owns
+the line. The entries then become a run of their own, and as soon as a level has ``FAN`` runs they
+are merged into one of the next level, so that few runs are ever open and each key is rewritten
+once a level. A last merge of all runs gives how many documents hold each key.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,31 +30,25 @@ _NO_ID = f"cast('{-(1 << 63)}' as bigint)"
 class LineRuns:
     """The index: levels of sorted runs, each with h, g, docs and owner, one row for each key."""
 
-    def __init__(self, spark: SparkSession, fan: int = FAN, buckets: int | None = None) -> None:
+    def __init__(self, spark: SparkSession, fan: int = FAN) -> None:
         self.spark, self.fan = spark, fan
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
-        self.places: dict[str, str] = {}
 
-    def runs(self) -> list[DataFrame]:
-        return [self.spark.table(name) for level in self.levels for name in level]
+    def _write(self, rows: DataFrame) -> str:
+        path = new_path(self.spark, "line_run")
+        rows.select("h", "g", "docs", "owner").sortWithinPartitions("h", "g").write.parquet(path)
+        return path
 
-    def dealt(self, rows: DataFrame) -> DataFrame:
-        return rows.repartition(self.buckets, "h", "g")
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema("h long, g long, docs long, owner long").parquet(*paths)
 
-    def write(self, rows: DataFrame, *parts: str) -> str:
-        """Write rows, dealt as buckets are, as a sorted run, one file for each bucket, and return its name."""
-        name = f"line_run_{uuid.uuid4().hex}"
-        self.places[name] = new_path(self.spark, name)
-        writer = rows.write.bucketBy(self.buckets, "h", "g").sortBy("h", "g").option("path", self.places[name])
-        (writer.partitionBy(*parts) if parts else writer).saveAsTable(name)
-        return name
+    def _runs(self) -> list[str]:
+        return [path for level in self.levels for path in level]
 
     def new_keys(self, entries: DataFrame) -> DataFrame:
         """The entries (h, g and more) whose key is in no run."""
-        for run in self.runs():
-            entries = entries.join(run.select("h", "g"), ["h", "g"], "left_anti")
-        return entries
+        runs = self._runs()
+        return entries.join(self._read(runs).select("h", "g"), ["h", "g"], "left_anti") if runs else entries
 
     def add(self, entries: DataFrame) -> None:
         """Add a batch: h, g, docs and owner, one row for each key.
@@ -66,39 +58,35 @@ class LineRuns:
         if self.levels:
             new = self.new_keys(entries).select("h", "g", "owner")
             entries = entries.drop("owner").join(new, ["h", "g"], "left")
-        self._push(self.write(self.dealt(entries.select("h", "g", "docs", "owner"))), 0)
+        self._push(self._write(entries), 0)
 
-    def _push(self, name: str, level: int) -> None:
+    def _push(self, path: str, level: int) -> None:
         if level == len(self.levels):
             self.levels.append([])
-        self.levels[level].append(name)
+        self.levels[level].append(path)
         if len(self.levels[level]) == self.fan:
-            merged = self.write(self.dealt(self._merged(self.levels[level])))
-            for old in self.levels[level]:
-                self.drop(old)
-            self.levels[level] = []
+            old, self.levels[level] = self.levels[level], []
+            merged = self._write(self._merged(old))
+            self._delete(old)
             self._push(merged, level + 1)
 
-    def _merged(self, names: list[str]) -> DataFrame:
-        # read as plain files: Spark 4.1 may take a union of bucketed tables for bucketed and leave
-        # out the exchange, though it no longer reads the tables bucket by bucket
-        schema = "h long, g long, docs long, owner long"
-        rows = self.spark.read.schema(schema).parquet(*[self.places[x] for x in names])
+    def _merged(self, runs: list[str]) -> DataFrame:
+        rows = self._read(runs)
         return rows.groupBy("h", "g").agg(F.sum("docs").alias("docs"), F.max("owner").alias("owner"))
 
     def totals(self) -> DataFrame:
         """Each key with the documents that hold it and its owner; the index must hold a batch."""
-        return self._merged([name for level in self.levels for name in level])
+        return self._merged(self._runs())
 
-    def drop(self, name: str) -> None:
-        self.spark.sql(f"drop table {name}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.places.pop(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def _delete(self, paths: list[str]) -> None:
+        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
 
     def close(self) -> None:
-        for level in self.levels:
-            for name in level:
-                self.drop(name)
+        """Delete all runs; what was read from them and not written is gone."""
+        self._delete(self._runs())
         self.levels = []
 
 
@@ -131,18 +119,19 @@ def repeated(
     spark = found.sparkSession
     edges = found.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)])).first()[0] if batches > 1 else []
     edges = sorted({*(edges or [])}, reverse=True)
-    batch = "case " + " ".join(f"when doc > cast('{x}' as bigint) then {i}" for i, x in enumerate(edges)) + f" else {len(edges)} end"
-    batch = batch if edges else "0"
+    later = " ".join(f"when doc > cast('{x}' as bigint) then {i}" for i, x in enumerate(edges))
+    batch = f"case {later} else {len(edges)} end" if edges else "0"
     by_doc = found.groupBy("h", "g", "doc").agg(F.lit(1).alias("one"))
     entries = by_doc.groupBy(F.expr(batch).alias("batch"), "h", "g").agg(
         F.count("*").alias("docs"), F.max("doc").alias("owner")
     )
+    arriving = new_path(spark, "entries")
+    entries.write.partitionBy("batch").parquet(arriving)
+    entries = spark.read.schema(entries.schema).parquet(arriving)
     index = LineRuns(spark, fan)
-    arriving = index.write(index.dealt(entries), "batch")
     for i in range(len(edges) + 1):
-        index.add(spark.table(arriving).where(F.col("batch") == i).drop("batch"))
+        index.add(entries.where(F.col("batch") == i).drop("batch"))
     result = staged(index.totals().where(F.col("docs") >= least_docs), "repeated")
-    index.drop(arriving)
     index.close()
     return result
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialloom.llm.texts import pieces
+from trialloom.llm.texts import word_pieces
 
 LENGTH = 2048
 #: Tokens packed together.
@@ -136,7 +136,7 @@ def pack(docs: DataFrame, path: str, pattern: str, end: int, length: int = LENGT
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts = [np.asarray(code.encode_to_numpy(p, disallowed_special=()), kind) for p in pieces(text or "")]
+                parts = [np.asarray(code.encode_to_numpy(p, disallowed_special=()), kind) for p in word_pieces(text or "")]
                 ids = np.concatenate([*parts, np.array([end], kind)])
                 for at in range(0, len(ids), length):
                     waiting.append((doc_id, at, ids[at : at + length]))

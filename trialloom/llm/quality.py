@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialloom.llm.labelled import SAMPLE_ROWS, counted, held_out, matrix, sample
-from trialloom.llm.texts import pieces
+from trialloom.llm.texts import word_pieces
 
 TOKEN = regex.compile(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+")
 #: n-grams kept (those with the largest weight of evidence), in how many examples at least, the
@@ -33,8 +33,9 @@ AGAIN = {"= =": b"\1", "= = = =": b"\1\1\1"}
 def ngrams(text: str | None) -> set[str]:
     """Words, runs of signs and their pairs, each once; and marks of words said again at once."""
     found: set[str] = set()
-    for piece in pieces(text or ""):
-        tokens = TOKEN.findall(piece.lower())
+    tokens: list[str] = []
+    for piece in word_pieces(text or ""):
+        tokens = tokens[-3:] + TOKEN.findall(piece.lower())  # pairs and runs go on across the cut
         found.update(tokens)
         found.update(map(" ".join, zip(tokens, tokens[1:])))
         same = bytes(map(eq, tokens, tokens[1:]))

@@ -18,3 +18,23 @@ def pieces(text: str, size: int | None = None) -> Iterator[str]:
         yield text[start:end]
         start = end
     yield text[start:]
+
+
+def word_pieces(text: str, size: int | None = None) -> Iterator[str]:
+    """A text cut only before a blank that follows something else.
+
+    No run of blanks or line ends and no word is cut, so what tokenizers make of a run stays as it is.
+    """
+    size, start = size or PIECE, 0
+    while len(text) - start > size:
+        end = start + size
+        while end > start and not (text[end] == " " and not text[end - 1].isspace()):
+            end = text.rfind(" ", start, end)
+        if end <= start:
+            end = start + size
+            while 0 <= end < len(text) and not (text[end] == " " and not text[end - 1].isspace()):
+                end = text.find(" ", end + 1)
+            end = len(text) if end < 0 else end
+        yield text[start:end]
+        start = end
+    yield text[start:]
