@@ -1,106 +1,90 @@
-"""Cost models on ``pyspark.ml``: the registry, the sweeps, scores and importances.
+"""Cost models: the registry, the sweeps, scores and importances.
 
-Boosted trees stand in for two external boosters with the same depth, rounds and rate, and
-kernel regression is approximated by random Fourier features with a robust linear fit.
+Boosters are grown here on histograms (``boosting``), the forest of unbounded depth by handing small
+nodes over to tasks (``forest``), and support vectors by dual descent over landmarks (``svr``); the
+linear learner is the one of ``pyspark.ml``. Fits of a sweep run side by side, and each
+finished one is recorded in a ledger (``ledger``), so that a sweep that is started again repeats
+only what is missing.
 """
 
 from __future__ import annotations
 
-import os
+import sys
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from threading import Lock
 
-import numpy as np
-import pandas as pd
-from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialloom.columns import GAIN_SELECTION_DROP, SPLIT_SELECTION_DROP
 from trialloom.functions.ordering import rank_within
+from trialloom.operators import boosting, forest, histograms, svr
+from trialloom.operators.boosting import Booster, Boosting
 from trialloom.operators.clean import BUNDLE, INSTANCE
 from trialloom.operators.features import LABEL, removed_features
+from trialloom.operators.forest import Forest, ForestSpec
+from trialloom.operators.histograms import spread
+from trialloom.operators.ledger import Ledger, at_once, fingerprint, source_digest
 from trialloom.operators.splits import SEED, TEST_SIZE, with_split
+from trialloom.operators.svr import Svr, SvrSpec
 from trialloom.operators.tasks import PRED, TRUE, sweep_summary, task_cases, task_summary
-from trialloom.session import new_path, shared_dir, staged
+from trialloom.session import shared_dir, staged
 
-# Tree count and, per learner, the rate, depth and seeds of the registry.
+# Tree count and, per learner, the rate, depth, penalties and seeds of the registry.
+# The first booster draws no rows, as its row share only counts together with a drawing interval.
 ROUNDS = 200
-BOOSTED_A = {"maxDepth": 3, "stepSize": 0.2, "subsamplingRate": 0.85, "featureSubsetStrategy": "0.7", "seed": 0}
-BOOSTED_B = {"maxDepth": 5, "stepSize": 0.01, "minInstancesPerNode": 2, "featureSubsetStrategy": "0.7", "seed": 0}
-BOOSTED_C = {"maxDepth": 5, "stepSize": 0.1, "seed": 7}
-FOREST = {"featureSubsetStrategy": "all", "seed": 7}
-#: Depth of forest trees: the most that MLlib allows, as the learner this stands for has no bound.
-FOREST_DEPTH = 30
-
-# Histograms of a group of tree nodes stay below this, so deep trees fit in memory.
-NODE_MEMORY_MB = 32
-KERNEL_FEATURES = 100
+BOOSTED_A = Boosting(
+    ROUNDS, rate=0.2, depth=3, l2=0.01, columns=0.7, leaf_wise=True, most_leaves=31, least_rows=20, least_hessian=1e-3, seed=0
+)
+BOOSTED_B = Boosting(ROUNDS, rate=0.01, depth=5, l2=0.01, columns=0.7, least_hessian=2.0, seed=0)
+BOOSTED_C = Boosting(ROUNDS, rate=0.1, depth=5, l2=0.0, seed=7)
+FOREST_SEED = 7
 
 _COLUMNS = {"featuresCol": "features", "labelCol": LABEL, "predictionCol": PRED}
 
 
-def _boosted(options: dict, rounds: int) -> Callable[[int], list[Estimator]]:
-    return lambda width: [
-        GBTRegressor(
-            maxIter=rounds, maxMemoryInMB=NODE_MEMORY_MB, checkpointInterval=10, **options, **_COLUMNS
-        )
-    ]
+@dataclass(frozen=True)
+class Learner:
+    """Name and options of a learner; called with the feature count it gives the stages after assembly."""
 
+    name: str
+    options: object
+    make: Callable[[int, object], list[Estimator]] = field(compare=False, repr=False)
 
-def _forest(trees: int, depth: int) -> Callable[[int], list[Estimator]]:
-    return lambda width: [
-        RandomForestRegressor(numTrees=trees, maxDepth=depth, maxMemoryInMB=NODE_MEMORY_MB, **FOREST, **_COLUMNS)
-    ]
-
+    def __call__(self, width: int) -> list[Estimator]:
+        return self.make(width, self.options)
 
-def _linear(width: int) -> list[Estimator]:
-    return [LinearRegression(regParam=0.0, **_COLUMNS)]
 
+def _boosted(name: str, spec: Boosting, rounds: int) -> Learner:
+    return Learner(name, replace(spec, rounds=rounds), lambda width, own: [Booster(own, width, LABEL, PRED)])
 
-class FourierFeatures(Transformer):
-    """Random Fourier features of the RBF kernel with gamma 1 / width on scaled inputs."""
 
-    def __init__(self, width: int, count: int = KERNEL_FEATURES, seed: int = 0):
-        super().__init__()
-        rng = np.random.default_rng(seed)
-        self.weights = rng.normal(scale=np.sqrt(2.0 / max(width, 1)), size=(width, count))
-        self.shifts = rng.uniform(0.0, 2.0 * np.pi, size=count)
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        weights, shifts = self.weights, self.shifts
-
-        @F.pandas_udf("array<double>")
-        def waves(x: pd.Series) -> pd.Series:
-            # One matrix product per Arrow batch.
-            return pd.Series(list(np.cos(np.stack(x.to_numpy()) @ weights + shifts)))
-
-        return dataset.withColumn("waves", array_to_vector(waves(vector_to_array("scaled"))))
+def _linear(width: int, _: object) -> list[Estimator]:
+    return [LinearRegression(regParam=0.0, **_COLUMNS)]
 
 
-def _kernel(count: int) -> Callable[[int], list[Estimator]]:
-    return lambda width: [
+def _kernel(width: int, spec: SvrSpec) -> list[Estimator]:
+    return [
         StandardScaler(withMean=True, inputCol="features", outputCol="scaled"),
-        FourierFeatures(width, count),
-        LinearRegression(loss="huber", regParam=1e-3, featuresCol="waves", labelCol=LABEL, predictionCol=PRED),
+        Svr(spec, width, "scaled", LABEL, PRED),
     ]
 
 
-def model_registry(
-    rounds: int = ROUNDS, *, forest_depth: int = FOREST_DEPTH, kernel_features: int = KERNEL_FEATURES
-) -> dict[str, Callable[[int], list[Estimator]]]:
-    """Learners by name; each takes the feature count and gives the stages after assembly."""
-    return {
-        "boosted_a": _boosted(BOOSTED_A, rounds),
-        "boosted_b": _boosted(BOOSTED_B, rounds),
-        "random_forest": _forest(rounds, forest_depth),
-        "gradient_boosting": _boosted(BOOSTED_C, rounds),
-        "kernel": _kernel(kernel_features),
-        "linear_regression": _linear,
-    }
+def model_registry(rounds: int = ROUNDS) -> dict[str, Learner]:
+    """Learners by name."""
+    learners = [
+        _boosted("boosted_a", BOOSTED_A, rounds),
+        _boosted("boosted_b", BOOSTED_B, rounds),
+        Learner("random_forest", ForestSpec(rounds, FOREST_SEED), lambda width, own: [Forest(own, width, LABEL, PRED)]),
+        _boosted("gradient_boosting", BOOSTED_C, rounds),
+        Learner("kernel", SvrSpec(), _kernel),
+        Learner("linear_regression", None, _linear),
+    ]
+    return {learner.name: learner for learner in learners}
 
 
 def usable_features(df: DataFrame, features: Sequence[str]) -> list[str]:
@@ -151,7 +135,7 @@ def prepare(
 def fit(prepared: Prepared, stages: Callable[[int], list[Estimator]]) -> PipelineModel:
     """Fit a learner on the training side only."""
     shared_dir(prepared.rows.sparkSession)
-    train = prepared.rows.where(F.col("split") == "train")
+    train = spread(prepared.rows.where(F.col("split") == "train"))
     return Pipeline(stages=stages(len(prepared.features))).fit(train)
 
 
@@ -190,41 +174,68 @@ class Sweep:
     failures: dict[str, str] = field(default_factory=dict)
 
 
+#: Digest of the learners' code, so that what other code fitted is not taken for a fit of this one.
+_CODE = source_digest(boosting, forest, histograms, svr, sys.modules[__name__])
+
+
 @dataclass
 class Fits:
-    """Fits of the same inputs, kept so that no learner is fitted twice on the same features."""
+    """Fits of the same inputs; each is made once and recorded in the ledger of the inputs.
+
+    A later ``Fits`` on equal inputs, also of another driver on the same shared folder, reads what
+    is recorded. Up to ``side_by_side`` fits run at the same time.
+    """
 
     inputs: DataFrame
     test_size: float = TEST_SIZE
     seed: int = SEED
+    side_by_side: int = 4
     ready: dict[tuple, Prepared] = field(default_factory=dict)
-    scored: dict[tuple, DataFrame] = field(default_factory=dict)
-    ranked: dict[tuple, DataFrame] = field(default_factory=dict)
+    ledger: Ledger | None = None
+    _lock: Lock = field(default_factory=Lock)
+
+    def _ledger(self) -> Ledger:
+        with self._lock:
+            if self.ledger is None:
+                self.ledger = Ledger(self.inputs.sparkSession, fingerprint(self.inputs, self.test_size, self.seed))
+        return self.ledger
 
     def prepared(self, features: Sequence[str], scheme: str) -> Prepared:
         key = (scheme, *features)
-        if key not in self.ready:
-            self.ready[key] = prepare(self.inputs, features, scheme, test_size=self.test_size, seed=self.seed)
-        return self.ready[key]
-
-    def scores(
-        self, name: str, features: Sequence[str], stages: Callable, scheme: str, importance: bool = False
-    ) -> DataFrame:
-        """Scores of one learner under one holdout, with ``model`` and ``scheme``, written once."""
-        key = (name, scheme, *features)
-        if key not in self.scored or importance and key not in self.ranked:
+        with self._lock:
+            if key not in self.ready:
+                self.ready[key] = prepare(self.inputs, features, scheme, test_size=self.test_size, seed=self.seed)
+            return self.ready[key]
+
+    def _fitted(self, name: str, features: Sequence[str], stages: Callable, scheme: str) -> str:
+        """Entry of one learner under one holdout: its ``scores`` and, for trees, its ``importances``."""
+        own = stages if isinstance(stages, Learner) else name
+
+        def make() -> dict[str, DataFrame]:
             ready = self.prepared(features, scheme)
             model = fit(ready, stages)
-            rows = score(model, ready).withColumns({"model": F.lit(name), "scheme": F.lit(scheme)})
-            self.scored[key] = staged(rows, "scores")
-            if hasattr(model.stages[-1], "trees"):
-                table = feature_importance(model, ready.features, ready.hollow)
-                self.ranked[key] = staged(table, "importances")
-        return self.scored[key]
+            tables = {"scores": score(model, ready)}
+            if hasattr(model.stages[-1], "splits"):
+                tables["importances"] = feature_importance(model, ready.features, ready.hollow)
+            return tables
+
+        return self._ledger().entry((_CODE, name, repr(own), scheme, *features), make)
+
+    def scores(self, name: str, features: Sequence[str], stages: Callable, scheme: str) -> DataFrame:
+        """Scores of one learner under one holdout, with ``model`` and ``scheme``, fitted and written once."""
+        rows = self._ledger().read(self._fitted(name, features, stages, scheme), "scores")
+        return rows.withColumns({"model": F.lit(name), "scheme": F.lit(scheme)})
 
     def importances(self, name: str, features: Sequence[str], stages: Callable, scheme: str = "group") -> DataFrame:
-        self.scores(name, features, stages, scheme, True)
-        return self.ranked[(name, scheme, *features)]
+        return self._ledger().read(self._fitted(name, features, stages, scheme), "importances")
+
+    def make_all(self, wanted: Sequence[tuple[str, Sequence[str], Callable, str]]) -> dict[tuple[str, str], Exception]:
+        """Make missing fits side by side; the errors of those that failed, by (model, scheme)."""
+        self._ledger()
+        for _, features, _, scheme in wanted:
+            self.prepared(features, scheme)
+        jobs = {(name, scheme): (self._fitted, name, features, stages, scheme) for name, features, stages, scheme in wanted}
+        return at_once(self.inputs.sparkSession, jobs, self.side_by_side)
 
 
 def _tables(spark, scored, importances, failures, complete) -> Sweep:
@@ -278,18 +289,18 @@ def model_sweep(
 
 def _sweep(inputs, variants, fits: Fits, complete: bool) -> Sweep:
     spark = inputs.sparkSession
-    scored, importances, failures = [], [], {}
+    wanted = [(name, own, stages, scheme) for name, (own, stages, _) in variants.items() for scheme in SCHEMES]
+    errors = fits.make_all(wanted)
+    failures: dict[str, str] = {}
+    for (name, _), error in errors.items():
+        failures.setdefault(name, str(error))
+    scored, importances = [], []
     for name, (features, stages, wants_importance) in variants.items():
-        try:
-            tables = []
-            for scheme in SCHEMES:
-                tables.append(fits.scores(name, features, stages, scheme))
-                if scheme == "group" and wants_importance:
-                    importances.append(fits.importances(name, features, stages).withColumn("model", F.lit(name)))
-        except Exception as error:  # noqa: BLE001
-            failures[name] = str(error)
+        if name in failures:
             continue
-        scored += tables
+        scored += [fits.scores(name, features, stages, scheme) for scheme in SCHEMES]
+        if wants_importance:
+            importances.append(fits.importances(name, features, stages).withColumn("model", F.lit(name)))
     return _tables(spark, scored, importances, failures, complete)
 
 
@@ -306,7 +317,7 @@ def ablation_sweep(
 ) -> Sweep:
     """The first booster without each list of features; ``removed_feature_count`` counts those present."""
     schemes = schemes or {"split_manual": SPLIT_SELECTION_DROP, "gain_manual": GAIN_SELECTION_DROP}
-    stages = _boosted(BOOSTED_A, rounds)
+    stages = _boosted("boosted_a", BOOSTED_A, rounds)
     variants = {
         name: ([c for c in features if c not in unwanted], stages, True) for name, unwanted in schemes.items()
     }
@@ -324,21 +335,13 @@ IMPORTANCE_SCHEMA = (
 
 
 def feature_importance(model: PipelineModel, names: Sequence[str], hollow: Sequence[str] = ()) -> DataFrame:
-    """Splits and total gain of each feature over all trees, with dense ranks.
+    """Splits and total gain of each feature over all trees of a booster, with dense ranks.
 
     ``names`` are the assembled features; ``hollow`` ones, which have no value, are listed with 0.
-
-    Read from the saved model's node table, which Spark writes in parallel.
+    The splits of a booster are bounded by its rounds and leaves.
     """
-    trees = model.stages[-1]
-    spark = SparkSession.getActiveSession()
-    path = new_path(spark, "trees")
-    trees.write().save(path)
-    nodes = spark.read.parquet(os.path.join(path, "data"))
-    inner = nodes.where(F.col("nodeData.split.featureIndex") >= 0).select(
-        F.col("nodeData.split.featureIndex").alias("index"), F.col("nodeData.gain").alias("gain")
-    )
-    used = inner.groupBy("index").agg(
+    spark = SparkSession.active()
+    used = spark.createDataFrame(model.stages[-1].splits(), "index int, gain double").groupBy("index").agg(
         F.count(F.lit(1)).alias("split_importance"), F.sum("gain").alias("gain_importance")
     )
     listed = F.posexplode(F.array(*[F.lit(c) for c in [*names, *hollow]])).alias("index", "feature")
