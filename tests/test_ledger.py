@@ -1,4 +1,9 @@
-"""Finished fits are recorded, and only missing ones are made again."""
+"""Finished fits are recorded, and only missing ones are made again.
+
+The shared folder may outlive a test run, so every run uses names of its own.
+"""
+
+from uuid import uuid4
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,13 +22,14 @@ def test_entries_are_made_once_and_only_whole_ones_count(spark):
             yield_first["b"] = spark.range(1).select(F.raise_error(F.lit("lost")))
         return yield_first
 
-    ledger = Ledger(spark, fingerprint(spark.range(5), "here"))
+    here = uuid4().hex
+    ledger = Ledger(spark, fingerprint(spark.range(5), here))
     entry = ledger.entry(("x", 1), make)
     assert ledger.entry(("x", 1), make) == entry and made == [False]
     assert ledger.read(entry, "a").count() == 3
     with pytest.raises(Exception, match="lost"):  # table a was written, b was lost: not whole
         ledger.entry(("x", 2), lambda: make(True))
-    other = Ledger(spark, fingerprint(spark.range(5).repartition(3), "here"))  # a driver that starts again
+    other = Ledger(spark, fingerprint(spark.range(5).repartition(3), here))  # a driver that starts again
     assert other.whole(other.entry(("x", 2), make)) and made == [False, True, False]
     assert fingerprint(spark.range(6), "here") != fingerprint(spark.range(5), "here") != fingerprint(spark.range(5), "there")
 
@@ -43,8 +49,9 @@ def test_jobs_run_side_by_side_and_errors_are_kept(spark):
 
 
 def test_sweep_after_a_lost_fit_makes_only_that_one(spark):
+    run = uuid4().hex
     rows = spark.createDataFrame(
-        [(f"i{i // 4}", str(i % 4), float(i % 7), float(i % 7 + i % 4)) for i in range(60)],
+        [(f"{run} i{i // 4}", str(i % 4), float(i % 7), float(i % 7 + i % 4)) for i in range(60)],
         f"meta_instance_id string, meta_valid_selection string, size double, {models.LABEL} double",
     )
     calls = []
