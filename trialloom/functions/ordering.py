@@ -15,6 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialloom.functions.selection import select_quantiles, selectable
 from trialloom.session import settle, staged
 
 _GROUP = "_group"
@@ -233,11 +234,18 @@ def summarise(
     """Aggregate by ``keys`` with exact quantiles: ``{value column: {output name: p}}``.
 
     No keys gives exactly one row, also on empty input. ``values`` may name a cheaper table
-    with the same keys and values, from which the quantiles are then read.
+    with the same keys and values, from which the quantiles are then read. Up to
+    ``selection.MOST_GROUPS`` groups they are selected by radix, and no value is moved; open bins
+    of more groups would be too many to broadcast, and the values are range-partitioned.
     """
     keys = list(keys)
     result = _grouped(df.groupBy(*keys).agg(*aggs), keys)
     source = _grouped(df if values is None else values, keys)
     for value, probs in quantiles.items():
-        result = result.join(_picked_quantiles(source, value, probs), _GROUP, "left")
+        picked = None
+        if selectable(source, value):
+            picked = select_quantiles(source, _GROUP, value, probs, one_group=not keys)
+        if picked is None:
+            picked = _picked_quantiles(source, value, probs)
+        result = result.join(picked, _GROUP, "left")
     return result.drop(_GROUP)
