@@ -171,3 +171,53 @@ def test_trees_as_deep_as_the_rows_ask(spark):
     x = np.arange(200.0)[:, None]
     tree = forest.finish(histograms.binned(x, [np.arange(0.5, 199)]), np.cumsum(np.arange(200.0) ** 6), np.ones(200))
     assert len(np.flatnonzero(tree.feature < 0)) == 200  # every row alone
+
+
+def test_forest_of_many_rows_splits_a_level_at_once():
+    """A level's nodes share their array steps: 30,000 rows that all end alone take a bounded number of them."""
+    rng = np.random.default_rng(2)
+    bins = rng.integers(0, 200, (30_000, 3)).astype(np.uint8)
+    label, weight = rng.normal(size=len(bins)), rng.integers(1, 4, len(bins)).astype(float)
+    calls = []
+    kept, forest._sorted_splits = forest._sorted_splits, lambda *a: calls.append(1) or kept(*a)
+    try:
+        tree = forest.finish(bins, label, weight)
+    finally:
+        forest._sorted_splits = kept
+    assert len(calls) < 100 and (tree.feature < 0).sum() > 29_000
+    own = tree.predict(bins)
+    _, at = np.unique(bins, axis=0, return_inverse=True)
+    means = np.bincount(at.ravel(), weight * label) / np.bincount(at.ravel(), weight)
+    np.testing.assert_allclose(own, means[at.ravel()], atol=1e-9)
+
+
+def test_a_subtree_is_sent_once_for_all_blocks_of_rows(spark):
+    """Scoring a handed-over tree joins no copy of it to each block."""
+    x, y = data(9, n=60, width=3)
+    rows = table(spark, x, y)
+    model = forest.fit_forest(rows, "label", 3, forest.ForestSpec(trees=2, seed=1), F.xxhash64("meta_row"), "p")
+    plan = model.transform(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "subtree" in plan
+
+
+def test_histograms_stay_with_the_tasks(spark, monkeypatch):
+    """What the driver gets from a level is one split for each node and group of features."""
+    x, y = data(4, n=90)
+    monkeypatch.setattr(histograms, "TASK_ROWS", 20)
+    seen = []
+    kept = boosting.first_of
+    monkeypatch.setattr(boosting, "first_of", lambda groups, spec: seen.append(groups) or kept(groups, spec))
+    model = boosting.boost(table(spark, x, y), "label", 4, SPECS["level"])
+    want, _ = plain_tree(x, y.mean() - y, SPECS["level"])
+    np.testing.assert_allclose(model.predicted(x), y.mean() + want, atol=1e-9)
+    assert seen and all(len(total) == 2 and (not split or len(split) == 4) for groups in seen for g in groups for total, split in g)
+
+
+def test_quantile_edges_of_thinned_values(monkeypatch):
+    values = np.random.default_rng(3).normal(size=50_000)
+    kept, counts = histograms._thinned(values, np.ones(len(values), np.int64), 1000)
+    assert len(kept) == 1000 and counts.sum() == len(values)
+    place = np.searchsorted(np.sort(values), kept, side="right")
+    assert np.abs(place - np.cumsum(counts)).max() == 0 and counts.max() <= 51
+    whole, counts = histograms._thinned(np.array([3.0, 1.0, 3.0]), np.array([1, 2, 4]), 1000)
+    assert whole.tolist() == [1.0, 3.0] and counts.tolist() == [2, 5]
