@@ -62,3 +62,28 @@ def test_few_landmarks_repeated_rows_and_one_value(spark):
     flat = svr.fit_svr(frame(spark, x, np.full(45, 2.0)), "scaled", "label", 3, svr.SvrSpec(landmarks=8), [])
     got = [r.prediction for r in flat.transform(frame(spark, x, y)).collect()]
     assert max(abs(p - 2.0) for p in got) < 0.15
+
+
+def test_many_rows_take_few_passes(monkeypatch):
+    """The passes over rows in several tasks don't grow with them, and the gap is reached."""
+    for n in (500, 20_000):
+        x, y = rows_of(3, n=n)
+        spec, passes = svr.SvrSpec(landmarks=40), []
+        marks = svr.Landmarks(x[:40])
+        mapped, label = marks.map(x), y - y.mean()
+
+        def sums(weights, wide):
+            passes.append(wide)
+            halves = [svr.rounded_sums(mapped[i::2], label[i::2], weights, wide, spec) for i in (0, 1)]
+            return halves[0] + halves[1]
+
+        weights, primal, gap = svr._solve(sums, mapped.shape[1], float(np.abs(label).mean()), spec)
+        exact = 0.5 * weights @ weights + np.maximum(0, np.abs(label - mapped @ weights) - spec.tube).sum()
+        assert gap <= spec.gap and abs(primal - exact) < 1e-6 * exact and len(passes) < 80
+
+
+def test_rows_of_one_label_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(histograms, "TASK_ROWS", 20)
+    x, _ = rows_of(2, n=45)
+    model = svr.fit_svr(frame(spark, x, np.full(45, 2.0)), "scaled", "label", 3, svr.SvrSpec(landmarks=8), [])
+    assert model.gap <= 1e-3 and max(abs(r.prediction - 2.0) for r in model.transform(frame(spark, x, x[:, 0])).collect()) < 0.15

@@ -1,30 +1,34 @@
 """Support-vector regression: epsilon-insensitive loss over landmark (Nystroem) features.
 
 The RBF kernel's map is taken at a bounded number of landmark rows; beyond those every row counts.
-The dual has one variable for each row. A task goes through its rows by coordinate descent, each step
-solved exactly, against its own copy of the weights; the changes of all tasks are added up, with
-the curvature scaled by their number so that the sum is a descent step too. The gap between primal
-and dual objective says when to stop, and bounds how far from the optimum the weights are.
+Rows worth one task are solved in the dual, which has one variable for each row, by coordinate descent.
+More rows are solved in the weights, whose number is bounded by the landmarks: Newton steps on the loss
+with its corners rounded off over a width that shrinks, one pass over the rows for each step. The
+rounded loss' slopes are dual variables, so each pass gives the gap between primal and dual
+objective, which says when to stop and bounds how far from the optimum the weights are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Transformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialloom.operators.histograms import tasks_for
+from trialloom.operators.histograms import feature_matrix, tasks_for
 from trialloom.session import shared_dir, staged
 
-#: Value of the constant feature that stands for the intercept of centred labels, and rounds between checkpoints.
-INTERCEPT, KEEP_EVERY = 1.0, 10
+#: Value of the constant feature that stands for the intercept of centred labels.
+INTERCEPT = 1.0
+#: By how much the rounding's width shrinks, and the share of the gap not due to it below which it does.
+SHRINK, WORTH = 0.4, 0.5
 
 
 @dataclass(frozen=True)
@@ -40,7 +44,7 @@ class SvrSpec:
 
 @dataclass(frozen=True)
 class Rows:
-    """Mapped rows of a task, their labels and dual variables, and by how much they moved the weights."""
+    """Mapped rows, their labels and dual variables, and by how much they moved the weights."""
 
     mapped: np.ndarray
     label: np.ndarray
@@ -65,10 +69,10 @@ class Landmarks:
         return np.column_stack([self.kernel(x) @ self.whiten, np.full(len(x), INTERCEPT)])
 
 
-def descend(rows: Rows, weights: np.ndarray, spec: SvrSpec, tasks: int, order: np.random.Generator) -> Rows:
+def descend(rows: Rows, weights: np.ndarray, spec: SvrSpec, order: np.random.Generator) -> Rows:
     """One pass over the rows; ``moved`` is what the weights have to change by."""
     dual, local = rows.dual.copy(), weights.copy()
-    curve = tasks * (rows.mapped * rows.mapped).sum(axis=1)
+    curve = (rows.mapped * rows.mapped).sum(axis=1)
     for i in order.permutation(len(dual)):
         x = rows.mapped[i]
         slope = float(local @ x) - rows.label[i]
@@ -76,7 +80,7 @@ def descend(rows: Rows, weights: np.ndarray, spec: SvrSpec, tasks: int, order: n
         best = np.sign(best) * max(0.0, abs(best) - spec.tube / curve[i])
         best = min(spec.penalty, max(-spec.penalty, best))
         if best != dual[i]:
-            local += tasks * (best - dual[i]) * x
+            local += (best - dual[i]) * x
             dual[i] = best
     return replace(rows, dual=dual, moved=(dual - rows.dual) @ rows.mapped)
 
@@ -98,7 +102,7 @@ def solve_here(rows: Rows, width: int, spec: SvrSpec) -> tuple[np.ndarray, float
     """Weights, objective and gap of rows that are all in one task."""
     weights, order = np.zeros(width), np.random.default_rng(0)
     for _ in range(spec.rounds):
-        rows = descend(rows, weights, spec, 1, order)
+        rows = descend(rows, weights, spec, order)
         weights = weights + rows.moved
         primal, gap = _gap(parts(rows, weights, spec), weights)
         if gap <= spec.gap:
@@ -106,24 +110,67 @@ def solve_here(rows: Rows, width: int, spec: SvrSpec) -> tuple[np.ndarray, float
     return weights, primal, gap
 
 
-def _solve(blocks, width: int, spec: SvrSpec, tasks: int) -> tuple[np.ndarray, float, float]:
-    """The same over the tasks of an RDD of ``Rows``."""
-    weights = np.zeros(width)
-    for number in range(spec.rounds):
-        now = weights
-        after = blocks.map(lambda rows, now=now, n=number: descend(rows, now, spec, tasks, np.random.default_rng(n)))
-        after = after.persist(StorageLevel.MEMORY_AND_DISK)
-        if number % KEEP_EVERY == KEEP_EVERY - 1:
-            after.checkpoint()
-        weights = weights + after.map(lambda rows: rows.moved).treeReduce(np.add)
-        share = after.map(lambda rows, now=weights: parts(rows, now, spec)).treeReduce(np.add)
-        blocks.unpersist()
-        blocks = after
-        primal, gap = _gap(share, weights)
-        if gap <= spec.gap:
+@dataclass
+class Rounded:
+    """Sums over rows at some weights and width: loss, rounded loss, dual objective, moved weights and curvature."""
+
+    loss: float
+    rounded: float
+    dual: float
+    moved: np.ndarray
+    curve: np.ndarray
+
+    def __add__(self, other: Rounded) -> Rounded:
+        return Rounded(*(getattr(self, f) + getattr(other, f) for f in ("loss", "rounded", "dual", "moved", "curve")))
+
+
+def rounded_sums(mapped: np.ndarray, label: np.ndarray, weights: np.ndarray, wide: float, spec: SvrSpec) -> Rounded:
+    """The loss past the tube is a parabola over ``wide`` and a line from there on."""
+    off = label - mapped @ weights
+    past = np.maximum(0.0, np.abs(off) - spec.tube)
+    bent = (past > 0) & (past < wide)
+    dual = spec.penalty * np.sign(off) * np.minimum(past / wide, 1.0)
+    inside = mapped[bent]
+    return Rounded(
+        spec.penalty * past.sum(),
+        spec.penalty * np.where(past < wide, past * past / (2 * wide), past - wide / 2).sum(),
+        dual @ label - spec.tube * np.abs(dual).sum(),
+        dual @ mapped,
+        spec.penalty / wide * (inside.T @ inside),
+    )
+
+
+def _solve(sums, width: int, wide: float, spec: SvrSpec) -> tuple[np.ndarray, float, float]:
+    """Weights, objective and gap; ``sums(weights, wide)`` adds ``rounded_sums`` up over all rows."""
+    weights, wide = np.zeros(width), max(wide, spec.tube, 1e-9)
+    best, found, bound = np.inf, weights, -np.inf
+    now = sums(weights, wide)
+    for _ in range(spec.rounds):
+        half = 0.5 * float(weights @ weights)
+        primal, dual = now.loss + half, now.dual - 0.5 * float(now.moved @ now.moved)
+        if primal < best:
+            best, found = primal, weights
+        bound = max(bound, dual)
+        if best - bound <= spec.gap * max(1.0, abs(best)):
             break
-    blocks.unpersist()
-    return weights, primal, gap
+        slope = weights - now.moved
+        step = -np.linalg.solve(np.eye(width) + now.curve, slope)
+        promise = -float(slope @ step)
+        # half the slope's square is the gap of the rounded loss, the rest of the gap is due to the rounding
+        if 0.5 * float(slope @ slope) <= WORTH * (primal - dual):
+            wide *= SHRINK
+            weights = weights + step
+            now = sums(weights, wide)
+            continue
+        share, before = 1.0, now.rounded + half
+        while True:
+            moved = weights + share * step
+            now = sums(moved, wide)
+            if now.rounded + 0.5 * float(moved @ moved) <= before - 1e-4 * share * promise or share < 1e-6:
+                break
+            share *= 0.3
+        weights = moved
+    return found, best, (best - bound) / max(1.0, abs(best))
 
 
 def fit_svr(rows: DataFrame, features: str, label: str, width: int, spec: SvrSpec, key: Sequence[str] = ()) -> SvrModel:
@@ -142,18 +189,31 @@ def fit_svr(rows: DataFrame, features: str, label: str, width: int, spec: SvrSpe
     own = marks.whiten.shape[1] + 1
 
     center = float(table.agg(F.avg("y")).first()[0] or 0.0)
-    def loaded(part):
-        found = [(r.x, r.y) for r in part]
-        if found:
-            mapped = marks.map(np.array([x for x, _ in found], float).reshape(len(found), width))
-            yield Rows(mapped, np.array([y for _, y in found]) - center, np.zeros(len(found)), np.zeros(own))
 
-    blocks = table.coalesce(tasks).rdd.mapPartitions(loaded).persist(StorageLevel.MEMORY_AND_DISK)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cells = feature_matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells], ["x", "y"])
+
+    # rows are kept as they are and mapped in each pass: mapped ones would take several times the memory
+    records = table.select("x", "y").mapInArrow(cut, "x binary, y binary").coalesce(tasks).rdd
+    blocks = records.map(lambda r: (np.frombuffer(r.x).reshape(-1, width), np.frombuffer(r.y) - center)).persist(StorageLevel.MEMORY_AND_DISK)
     if tasks == 1:
-        weights, primal, gap = blocks.map(lambda rows: solve_here(rows, own, spec)).collect()[0]
-        blocks.unpersist()
+
+        def whole(part):
+            x, y = (np.concatenate(each) for each in zip(*part))
+            yield solve_here(Rows(marks.map(x), y, np.zeros(len(y)), np.zeros(own)), own, spec)
+
+        weights, primal, gap = blocks.coalesce(1).mapPartitions(whole).collect()[0]
     else:
-        weights, primal, gap = _solve(blocks, own, spec, tasks)
+
+        def sums(now: np.ndarray, wide: float) -> Rounded:
+            return blocks.map(lambda pair: rounded_sums(marks.map(pair[0]), pair[1], now, wide, spec)).treeReduce(lambda a, b: a + b)
+
+        off = float(table.agg(F.avg(F.abs(F.col("y") - center))).first()[0])
+        weights, primal, gap = _solve(sums, own, off, spec)
+    blocks.unpersist()
     return SvrModel(marks, weights, center, primal, gap, features)
 
 
