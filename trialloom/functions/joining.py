@@ -1,4 +1,4 @@
-"""Joins that survive a hot key."""
+"""Joins that survive a hot key, and grouping in tasks of bounded size."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: Fewest and most tasks that the rows of one key are dealt to.
 SALTS, MOST_SALTS = 16, 64
 _SALT = "_salt"
+#: Rows of a task that ``dealt`` aims at.
+DEALT_ROWS = 1_000_000
 
 
 def salts_for(df: DataFrame) -> int:
@@ -43,3 +45,14 @@ def salted_join(
     # each combination of their old and new names
     dealt = df.select("*", F.explode_outer(F.array(bucket)).alias(_SALT))
     return dealt.join(copies, [*on, _SALT], how).drop(_SALT)
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` (of about ``rows`` rows) by a hash of ``keys`` in tasks of ``DEALT_ROWS``, to be grouped by ``keys`` next.
+
+    A group-by alone first collects the groups of whatever a task reads, and a file of narrow columns
+    holds very many of them. Rows that make small tasks on all cores stay where they are.
+    """
+    if rows <= DEALT_ROWS * df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(-(-rows // DEALT_ROWS), *keys)

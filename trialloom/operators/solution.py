@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialloom.functions.joining import dealt
+
 # Weights of the four scores, the gap that counts as crossed and its floor.
 SCORE_WEIGHTS = (1, -1, 1, 0)
 CROSSING_GAP = 0.15
@@ -86,10 +88,12 @@ def audit_inventory(assign: DataFrame, usage: DataFrame, inventory: DataFrame) -
     Services are counted per instance before they meet the usage table, to which each product's
     stock is attached, so the sums don't move again to the few products.
     """
-    chosen = assign.groupBy("s", "m").agg(F.count(F.lit(1)).alias("n"))
+    rows = assign.count()
+    chosen = dealt(assign.select("s", "m"), rows, "s", "m").groupBy("s", "m").agg(F.count(F.lit(1)).alias("n"))
     stocked = usage.join(inventory, "p")
+    units, services = usage.agg(F.count(F.lit(1)), F.count_distinct("m")).first()
     used = (
-        chosen.join(stocked, "m")
+        dealt(chosen.join(stocked, "m"), rows * -(-units // max(1, services)), "s", "p", "cap")
         .groupBy("s", "p", "cap")
         .agg(F.sum(F.col("n") * F.col("units")).alias("used_units"))
     )
@@ -120,8 +124,9 @@ def audit_flow(arc: DataFrame, team: DataFrame, start_depot: int, end_depot: int
             )
         ).alias("w"),
     ).select("s", "k", "w.i", "w.net")
+    rows = 2 * (arc.count() + team.count())
     return (
-        _union([leaving, arriving, wanted])
+        dealt(_union([leaving, arriving, wanted]), rows, "s", "k", "i")
         .groupBy("s", "k", "i")
         .agg(F.sum("net").alias("imbalance"))
         .where(F.col("imbalance") != 0)
@@ -220,10 +225,15 @@ def audit_linking(
 
 def served_summary(node: DataFrame, visit: DataFrame, team: DataFrame) -> DataFrame:
     """Served and unserved customers, used and idle teams per instance."""
+    places = _union(
+        [
+            node.select("s", F.lit("customer").alias("what"), F.col("i").alias("x")),
+            visit.select("s", F.lit("served").alias("what"), F.col("i").alias("x")),
+        ]
+    )
     facts = _union(
         [
-            node.select("s", F.lit("customer").alias("what"), F.col("i").alias("x")).distinct(),
-            visit.select("s", F.lit("served").alias("what"), F.col("i").alias("x")).distinct(),
+            dealt(places, node.count() + visit.count(), "s", "what", "x").distinct(),
             team.select("s", F.when(F.col("used") > 0, "used").otherwise("idle").alias("what"), F.col("k").alias("x")),
         ]
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from trialloom.columns import HEADERS
 from trialloom.functions import bundles as B
+from trialloom.functions.joining import dealt
 
 MAX_LINE = 7  # l_linenumber runs from 1 to 7
 START_DEPOT = MAX_LINE
@@ -152,8 +153,10 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SOL node: one served customer per (order as instance, line number)."""
     days = F.datediff(F.min("l_shipdate"), F.lit("1992-01-01").cast("date"))
+    lines = table(spark, sf_dir, "lineitem")
+    used = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_quantity", "l_suppkey", "l_extendedprice")
     return (
-        table(spark, sf_dir, "lineitem")
+        dealt(used, lines.count(), "l_orderkey", "l_linenumber")
         .groupBy(F.col("l_orderkey").alias("s"), (F.col("l_linenumber") - 1).alias("i"))
         .agg(
             F.min("l_partkey").alias("m"),
@@ -281,13 +284,16 @@ def visits(node: DataFrame) -> DataFrame:
 
 def teams(node: DataFrame) -> DataFrame:
     """SOL team: teams of each instance; the last one is idle, in every 19th said to be used."""
-    used = node.groupBy("s", "k").agg(F.lit(1).alias("used"))
-    every = node.select("s").distinct().select(
-        "s", F.explode(F.sequence(F.lit(0), F.lit(TEAMS - 1))).alias("k")
+    busy = dealt(node.select("s", "k"), node.count(), "s").groupBy("s").agg(
+        F.array(*[F.max(F.col("k") == k) for k in range(TEAMS)]).alias("busy")
     )
     claimed = F.when((F.col("s") % 19 == 0) & (F.col("k") == TEAMS - 1), 1).otherwise(0)
-    return every.join(used, ["s", "k"], "left").select(
-        "s", "k", F.coalesce("used", claimed).alias("used"), F.lit(191).alias("duration"), F.lit(2.5).alias("fixed")
+    return busy.select("s", F.posexplode("busy").alias("k", "own")).select(
+        "s",
+        "k",
+        F.when(F.col("s").isNotNull() & F.col("own"), 1).otherwise(claimed).alias("used"),
+        F.lit(191).alias("duration"),
+        F.lit(2.5).alias("fixed"),
     )
 
 
