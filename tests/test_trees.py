@@ -1,5 +1,6 @@
 """Boosters and forest against plain Python on small tables."""
 
+import dataclasses
 import heapq
 import itertools
 
@@ -221,3 +222,53 @@ def test_quantile_edges_of_thinned_values(monkeypatch):
     assert np.abs(place - np.cumsum(counts)).max() == 0 and counts.max() <= 51
     whole, counts = histograms._thinned(np.array([3.0, 1.0, 3.0]), np.array([1, 2, 4]), 1000)
     assert whole.tolist() == [1.0, 3.0] and counts.tolist() == [2, 5]
+
+
+@pytest.mark.parametrize("name", SPECS)
+def test_rows_of_a_few_tasks_are_boosted_in_one(spark, monkeypatch, name):
+    """No job for each level of a tree where the rows are few; the trees are those of the jobs."""
+    x, y = data(6, n=90)
+    monkeypatch.setattr(histograms, "TASK_ROWS", 30)
+    spec = dataclasses.replace(SPECS[name], rounds=3)
+    rows = table(spark, x, y)
+    calls = []
+    kept = histograms.split_by_features
+    monkeypatch.setattr(histograms, "split_by_features", lambda *a: calls.append(1) or kept(*a))
+    here = boosting.boost(rows, "label", 4, spec)
+    assert not calls
+    monkeypatch.setattr(boosting, "WHOLE_TASKS", 0)
+    spread = boosting.boost(rows, "label", 4, spec)
+    assert calls
+    np.testing.assert_allclose(here.predicted(x), spread.predicted(x), atol=1e-9)
+    assert [(f, round(g, 6)) for f, g in here.splits()] == [(f, round(g, 6)) for f, g in spread.splits()]
+
+
+def test_wide_rows_are_not_boosted_in_one_task(spark, monkeypatch):
+    x, y = data(6, n=90)
+    monkeypatch.setattr(histograms, "TASK_ROWS", 30)
+    monkeypatch.setattr(boosting, "WHOLE_BYTES", 90 * (4 + 24) - 1)
+    calls = []
+    kept = histograms.split_by_features
+    monkeypatch.setattr(histograms, "split_by_features", lambda *a: calls.append(1) or kept(*a))
+    boosting.boost(table(spark, x, y), "label", 4, SPECS["leaf"])
+    assert calls
+
+
+@pytest.mark.parametrize("common", [0, 4, 8])
+def test_rows_of_a_common_bin_are_not_sorted(common):
+    """A bin with most rows, lowest, in the middle or highest, is made up from the others: the tree is the plain one."""
+    rng = np.random.default_rng(common)
+    x = np.where(rng.random((400, 4)) < 0.8, common, rng.integers(0, 9, (400, 4))).astype(float)
+    x[:, 3] = rng.integers(0, 9, 400)  # no common bin
+    y = np.round(x[:, 0] - 2.0 * (x[:, 1] > 5) + rng.normal(size=400), 3)
+    weight = rng.integers(0, 4, 400).astype(float)
+    own = weight > 0
+    sizes = []
+    kept = forest._sorted_splits
+    forest._sorted_splits = lambda *a: sizes.append(sum(map(len, a[1]))) or kept(*a)
+    try:
+        tree = forest.finish(x[own].astype(np.uint8), y[own], weight[own])
+    finally:
+        forest._sorted_splits = kept
+    np.testing.assert_allclose(tree.predict(x.astype(np.uint8)), plain_forest(x, y, weight), atol=1e-9)
+    assert sizes[0] < 2 * own.sum()  # of four features; one is sorted whole
