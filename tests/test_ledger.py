@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trialloom.operators import models
 from trialloom.operators.ledger import Ledger, at_once, fingerprint
+from trialloom.plans import model_queries
 
 
 def test_entries_are_made_once_and_only_whole_ones_count(spark):
@@ -75,3 +76,30 @@ def test_sweep_after_a_lost_fit_makes_only_that_one(spark):
     again = models.model_sweep(rows, ["size"], registry=registry, importance_of=())
     assert not again.failures and {r.model for r in again.summary.collect()} == {"first", "second"}
     assert calls == ["again"]  # the scheme of "second" that was lost; all others were read
+
+
+def test_a_failed_fit_fails_the_queries_that_do_not_return_errors(spark, monkeypatch):
+    run = uuid4().hex
+    rows = spark.createDataFrame(
+        [(f"{run} i{i // 4}", str(i % 4), float(i % 7), float(i % 7 + i % 4)) for i in range(60)],
+        f"meta_instance_id string, meta_valid_selection string, size double, {models.LABEL} double",
+    )
+    linear = models.model_registry(2)["linear_regression"]
+
+    def lost(width):
+        raise RuntimeError("lost executor")
+
+    fits = models.Fits(rows)
+    monkeypatch.setattr(model_queries, "fits_of", lambda *_: (fits, ["size"]))
+    registry = {"first": linear, "second": lost}
+    monkeypatch.setattr(models, "model_registry", lambda rounds=2: registry)
+    for query in (model_queries.model_sweep_summary, model_queries.model_sweep):
+        with pytest.raises(RuntimeError, match="second.*lost executor"):
+            query(spark, "")
+    registry["second"] = linear  # the fits of the first are read from the ledger
+    assert {r.model for r in model_queries.model_sweep_summary(spark, "").collect()} == {"first", "second"}
+
+    monkeypatch.setattr(models, "_boosted", lambda *_: lost)
+    for query in (model_queries.ablation_sweep_summary, model_queries.ablation_sweep):
+        with pytest.raises(RuntimeError, match="lost executor"):
+            query(spark, "")
