@@ -2,6 +2,7 @@
 
 import math
 import os
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from trialloom.columns import HEADERS, MODEL_DROP, SPLIT_SELECTION_DROP, header_
 from trialloom.functions import bundles as B
 from trialloom.functions.numeric import to_number
 from trialloom.operators import clean, profile, splits
-from trialloom.session import new_path
+from trialloom.plans import model_queries
+from trialloom.session import new_path, shared_dir
 from trialloom.sources import sinks, trial_log
 
 COLUMNS = ["scale_phase", "scale_stage", "size_signature", "random_seed", "valid_selection", "full_runtime"]
@@ -192,3 +194,21 @@ def test_augmented_sink_as_csv(spark):
     sinks.write_dataset(spark.createDataFrame([("a", [1.5, 2.0], 3)], "k string, v array<double>, n int"), path, as_csv=True)
     (row,) = spark.read.option("header", True).csv(path).collect()
     assert (row["k"], row["v"], row["n"]) == ("a", "[1.5,2.0]", "3")
+
+
+def test_csv_logs_of_a_query_are_packed_and_the_first_one_goes(spark, tmp_path):
+    at = str(tmp_path)
+    spark.range(128).selectExpr(
+        "id as l_orderkey", "id % 64 as l_partkey", "id div 64 + 1 as l_suppkey", "1000.0 + 7 * id as l_extendedprice"
+    ).write.parquet(f"{at}/lineitem.parquet")
+    spark.range(1, 3).selectExpr("id as s_suppkey", "cast(id as int) as s_nationkey").write.parquet(f"{at}/supplier.parquet")
+    numbers = "transform(sequence(1, 64), p -> cast((p * 37 + id * 11) % 101 / 100.0 as float)) as embedding"
+    spark.range(1, 3).selectExpr("id as vec_id", numbers).write.parquet(f"{at}/embeddings.parquet")
+    shared = Path(shared_dir(spark))
+    before = {p.name for p in shared.iterdir()}
+    rows = model_queries.csv_to_inputs(spark, at).collect()
+    assert len(rows) == 128 and len({r.instance_id for r in rows}) == 2 and all(r.service_time_median is not None for r in rows)
+    made = {p.name.partition("-")[0]: p for p in shared.iterdir() if p.name not in before}
+    assert "printed" not in made and "log" in made
+    files = list(made["derived"].glob("part-*"))
+    assert files and all(f.name.endswith(".csv.gz") for f in files)
