@@ -272,3 +272,94 @@ def test_rows_of_a_common_bin_are_not_sorted(common):
         forest._sorted_splits = kept
     np.testing.assert_allclose(tree.predict(x.astype(np.uint8)), plain_forest(x, y, weight), atol=1e-9)
     assert sizes[0] < 2 * own.sum()  # of four features; one is sorted whole
+
+
+def instances(seed, n=40, of=32, odd=0):
+    """Rows of n instances with ``of`` bundles each: six features of the instance, five of the bundle, one of both; labels."""
+    rng = np.random.default_rng(seed)
+    own, bundle = np.repeat(np.arange(n), of), np.tile(np.arange(of), n)
+    profile = rng.integers(0, 30, (n, 6))
+    bits = (bundle[:, None] >> np.arange(5)) & 1
+    x = np.column_stack([profile[own, :3], bits, profile[own, 3:], profile[own, 0] + 3 * bits.sum(1)]).astype(float)
+    x[rng.choice(len(x), odd, replace=False), 0] += 1  # rows that differ from their instance
+    y = np.round(profile[own, 1] * 0.3 + bits[:, 0] * (profile[own, 4] > 12) + rng.normal(size=len(own)), 3)
+    return x, y, own
+
+
+@pytest.mark.parametrize("odd", [0, 1])
+def test_tree_over_units_of_instances_equals_that_over_rows(monkeypatch, odd):
+    x, y, own = instances(4, odd=odd)
+    weight = forest.poisson_weights(np.arange(len(y)), 1, 7)
+    k = weight > 0
+    bins, y, weight, own = x[k].astype(np.uint8), y[k], weight[k], own[k]
+    shared = histograms.shared_of(bins, own)
+    assert set(shared.columns) == {0, 1, 2, 8, 9, 10} and 40 <= len(shared.bins) <= 41  # one odd row is a unit of its own
+    np.testing.assert_array_equal(shared.bins[shared.unit], bins[:, shared.columns])
+    for most in (forest.MOST_DENSE, 0):  # with histograms first, and sorted from the root on
+        monkeypatch.setattr(forest, "MOST_DENSE", most)
+        plain, seen = forest.finish(bins, y, weight), []
+        splits = forest._Side.splits
+        monkeypatch.setattr(forest._Side, "splits", lambda side, rank, *more: seen.append((len(side.columns), len(rank))) or splits(side, rank, *more))
+        tree = forest.finish(bins, y, weight, own)
+        monkeypatch.setattr(forest._Side, "splits", splits)
+        for name in ("feature", "cut", "left", "right"):
+            np.testing.assert_array_equal(getattr(tree, name), getattr(plain, name))
+        np.testing.assert_allclose(tree.value, plain.value)
+        np.testing.assert_allclose(tree.gain, plain.gain, rtol=1e-6, atol=1e-9)
+        assert seen[1] == (6, len(shared.bins))  # the instance's features were read for each unit, not for each row
+
+
+def test_rows_without_anything_shared_stay_rows():
+    x, _, own = instances(5)
+    bins = x.astype(np.uint8)
+    assert histograms.shared_of(bins, np.arange(len(bins))) is None
+    assert histograms.shared_of(np.random.default_rng(0).integers(0, 9, bins.shape).astype(np.uint8), own) is None
+    assert histograms.shared_of(bins[:2], own[:2]) is None
+
+
+@pytest.mark.parametrize("rows_of_a_task", [histograms.TASK_ROWS, 100])
+def test_booster_over_units_equals_plain_python(spark, monkeypatch, rows_of_a_task):
+    """In one task, and by jobs; instances ride along as the key of a row."""
+    x, y, own = instances(6, n=30, of=16, odd=1)
+    rows = [(f"i{g}", [float(v) for v in r], float(t)) for g, r, t in zip(own, x, y)]
+    frame = spark.createDataFrame(rows, "meta_instance_id string, f array<double>, label double")
+    frame = frame.select("meta_instance_id", array_to_vector("f").alias("features"), "label")
+    monkeypatch.setattr(histograms, "TASK_ROWS", rows_of_a_task)
+    kinds = []
+    loaded = histograms.loaded
+
+    def seen(*args, **more):
+        blocks = loaded(*args, **more)
+        kinds.append([(len(b.label), None if b.shared is None else len(b.shared.bins)) for b in blocks.collect()])
+        return blocks
+
+    monkeypatch.setattr(histograms, "loaded", seen)
+    spec = dataclasses.replace(SPECS["leaf"], rounds=3, least_rows=5)
+    model = boosting.boost(frame, "label", x.shape[1], spec)
+    now = np.full(len(y), y.mean())
+    for _ in range(spec.rounds):
+        now = now + plain_tree(x, now - y, spec)[0]
+    np.testing.assert_allclose(model.predicted(x), now, atol=1e-7)
+    blocks = kinds[0]
+    assert sum(n for n, _ in blocks) == len(y) and (len(blocks) > 1) == (rows_of_a_task == 100)
+    assert all(units is not None and units * 4 <= n for n, units in blocks)
+
+
+def test_small_and_large_trees_read_blocks_as_they_read_rows():
+    x, y, own = instances(8)
+    bins = x.astype(np.uint8)
+    block = histograms.block_of(bins, y, own, np.zeros(len(y)), own)
+    assert block.shared and block.bins.shape[1] == 6
+    whole, group = block.whole()
+    np.testing.assert_array_equal(whole, bins)
+    assert len(np.unique(group)) == len(block.shared.bins)
+    for rows in (40, len(y)):
+        tree = forest.finish(bins[:rows], y[:rows], np.ones(rows))
+        assert (len(tree.feature) <= histograms.FEW_NODES) == (rows == 40)
+        np.testing.assert_array_equal(tree.leaves(block), tree.leaves(bins))
+        np.testing.assert_array_equal(tree.predict(block), tree.predict(bins))
+    node = np.where(np.arange(len(y)) % 3 == 2, -1, np.arange(len(y)) % 3)
+    np.testing.assert_allclose(
+        histograms.sums_by_bin(block, node, (y, None), 2, 70, [11, 0, 4, 9]),
+        histograms.block_histograms(bins, node, (y, None), 2, 70, [11, 0, 4, 9]),
+    )
